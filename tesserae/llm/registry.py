@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import url_rules
+from . import mixing, url_rules
 
 QUERIES = {
     "op3_url_filter": url_rules.op3_url_filter,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
     "op3_url_filter": url_rules.OP3_SQL,
+    "op10_mix_sources": mixing.OP10_SQL,
 }
