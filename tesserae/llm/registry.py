@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, url_rules
+from . import chat, mixing, sharding, url_rules
 
 QUERIES = {
     "op3_url_filter": url_rules.op3_url_filter,
+    "op8_format_chats": chat.op8_format_chats,
+    "op9_shard": sharding.op9_shard,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
     "op3_url_filter": url_rules.OP3_SQL,
+    "op8_format_chats": chat.OP8_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
