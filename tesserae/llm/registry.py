@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding, url_rules
+from . import chat, licenses, mixing, sharding, url_rules
 
 QUERIES = {
     "op3_url_filter": url_rules.op3_url_filter,
+    "op6_license_scan": licenses.op6_license_scan,
     "op8_format_chats": chat.op8_format_chats,
     "op9_shard": sharding.op9_shard,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
     "op3_url_filter": url_rules.OP3_SQL,
+    "op6_license_scan": licenses.OP6_SQL,
     "op8_format_chats": chat.OP8_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
