@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, sharding, url_rules
+from . import chat, licenses, mixing, pii, quality, sharding, url_rules
 
 QUERIES = {
+    "op1_pseudonyms": pii.op1_pseudonyms,
+    "op2_quality": quality.op2_quality,
     "op3_url_filter": url_rules.op3_url_filter,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_format_chats": chat.op8_format_chats,
