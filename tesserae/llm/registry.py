@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, pii, quality, sharding, url_rules
+from . import ann, chat, decontam, licenses, mixing, pii, quality, sharding, url_rules
 
 QUERIES = {
     "op1_pseudonyms": pii.op1_pseudonyms,
     "op2_quality": quality.op2_quality,
     "op3_url_filter": url_rules.op3_url_filter,
+    "op4_decontamination": decontam.op4_decontamination,
+    "op5_nearest": ann.op5_nearest,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_format_chats": chat.op8_format_chats,
     "op9_shard": sharding.op9_shard,
