@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, licenses, mixing, pii, quality, sharding, url_rules
+from . import ann, chat, decontam, licenses, mixing, near_dup, pii, quality, sharding, url_rules
 
 QUERIES = {
     "op1_pseudonyms": pii.op1_pseudonyms,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontam.op4_decontamination,
     "op5_nearest": ann.op5_nearest,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_near_duplicates": near_dup.op7_near_duplicates,
     "op8_format_chats": chat.op8_format_chats,
     "op9_shard": sharding.op9_shard,
     "op10_mix_sources": mixing.op10_mix_sources,
@@ -18,6 +19,7 @@ QUERIES = {
 SQL = {
     "op3_url_filter": url_rules.OP3_SQL,
     "op6_license_scan": licenses.OP6_SQL,
+    "op7_near_duplicates": near_dup.OP7_SQL,
     "op8_format_chats": chat.OP8_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
