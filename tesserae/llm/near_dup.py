@@ -38,8 +38,12 @@ from .components import components
 
 MINIMA = 180
 MISS = 1e-6
-#: Signatures that agree in less than this share can't belong to a linked pair (some ten standard deviations).
-FAR = 0.5
+#: Signatures that agree in less than this share are no family. It is far below any threshold: documents that are
+#: linked through others come to one hub in few rounds, and what only shares passages stays apart.
+FAR = 0.25
+#: Members' texts are picked out of the scan by so many hash values at most (a broadcast of a few MB) before they
+#: are shuffled; with more members than that it filters less, and the join still decides.
+PICKS = 1 << 18
 #: A family's block holds so many members, and so many shingles, on average at most.
 BLOCK_MEMBERS = 2000
 BLOCK_SHINGLES = 2_000_000
@@ -206,7 +210,9 @@ def confirmed_links(members: DataFrame, texts: DataFrame, k: int, percent: int,
     """members: id, mark, n_shingles, family; texts: id, mark, text -> links (a, b), confirmed on full sets."""
     weight = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("parts"))
     rows = members.join(weight, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = texts.join(rows, ["id", "mark"])
+    pick = F.pmod("mark", F.lit(PICKS)).alias("pick")
+    picked = texts.withColumn("pick", pick).join(F.broadcast(members.select(pick).distinct()), "pick", "left_semi")
+    rows = picked.drop("pick").join(rows, ["id", "mark"])
     other = F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
     rows = rows.select("family", "id", "text", "part", other)
     rows = rows.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "text")
