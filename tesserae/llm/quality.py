@@ -187,16 +187,32 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         u, bias, buckets = shared.value
         hasher = Hasher(buckets)
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                ids = hasher(text) if text else ()
-                scores.append(1 / (1 + float(np.exp(-np.clip((float(u[ids].mean(dtype=np.float64)) if len(ids) else 0.0) + bias, -500, 500)))))
+            scores = [_score(u, bias, hasher, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     return rows.mapInArrow(run, f"{id_col} long, score double")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that score `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast((*model.table(), len(model.vectors)))
+
+    def run(batches: Iterator[pa.RecordBatch], at: int = docs.columns.index(text_col)) -> Iterator[pa.RecordBatch]:
+        u, bias, buckets = shared.value
+        hasher = Hasher(buckets)
+        for batch in batches:
+            yield batch.filter(pa.array([_score(u, bias, hasher, t) >= least for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _score(u: np.ndarray, bias: float, hasher: Hasher, text: str | None) -> float:
+    ids = hasher(text) if text else ()
+    margin = (float(u[ids].mean(dtype=np.float64)) if len(ids) else 0.0) + bias
+    return 1 / (1 + float(np.exp(-np.clip(margin, -500, 500))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     rows = sorted(training_rows(docs, labels, label, sample).collect())  # at most 2 * sample rows; sorted, so reruns agree
     return train([r[0] for r in rows], [r[1] for r in rows])
