@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, ranked, table
+from .common import SLICE_ROWS, Scratch, ranked, table
 
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 MAX_EPOCHS = 2
 SEED = "mix-1"
+#: Rows that one slice of the order holds when rows carry their texts.
+WHOLE_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,14 +61,14 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
     return s.select("mix_key", "source_size", target.alias("target"))
 
 
-def _planned(docs: DataFrame, slim: DataFrame, seed: str, share: float, weights, max_epochs: int) -> DataFrame:
+def _planned(docs: DataFrame, slim: DataFrame, seed: str, share: float, weights, max_epochs: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
     sizes = slim.groupBy("mix_key").agg(F.max("mix_source").alias("source"), F.sum("mix_size").alias("source_size"))
     aims = targets(sizes, share, weights, max_epochs)
     # size classes: steps of an eighth of a doubling, so that each stretch of the order has like sizes
     classes = F.floor(F.log2(F.col("mix_size") + 1) * 8).cast("int")
     docs, slim = docs.withColumn("mix_class", classes), slim.withColumn("mix_class", classes)
     order = [F.col("mix_size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("mix_id").cast("string"), F.lit("")))), F.col("mix_id")]
-    out = ranked(docs, ["mix_key", "mix_class"], order, counts_from=slim, name="mix_at")
+    out = ranked(docs, ["mix_key", "mix_class"], order, counts_from=slim, name="mix_at", slice_rows=slice_rows)
     firsts = slim.groupBy("mix_key", "mix_class").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_key").orderBy("mix_class").rowsBetween(Window.unboundedPreceding, -1)
     firsts = firsts.select("mix_key", "mix_class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_first")).join(aims, "mix_key")
@@ -93,7 +95,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: the rows of `docs`, all columns, each as often as it is taken."""
     slim = Scratch(docs.sparkSession, "mix").cut(_slim(docs, id_col, text_col, source_col))
     rows = docs.select(F.struct("*").alias("mix_row"), F.col(id_col).alias("mix_id"), _key(F.col(source_col)).alias("mix_key"), words(F.col(text_col)).alias("mix_size"))
-    out = _planned(rows, slim, seed, share, weights, max_epochs).where("mix_copies > 0")
+    out = _planned(rows, slim, seed, share, weights, max_epochs, WHOLE_ROWS).where("mix_copies > 0")
     return out.select("mix_row", F.explode(F.expr("sequence(1L, mix_copies)")).alias("copy")).select("mix_row.*")
 
 

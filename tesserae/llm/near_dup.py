@@ -156,7 +156,7 @@ def family_links(sets: DataFrame, scratch: Scratch, far: float = FAR) -> DataFra
     """From (id, bands, signature) of distinct sets: links (a, b) whose components are the families."""
     rows = sets.select(F.explode("bands").alias("bucket"), "id")
     prints = sets.select("id", "signature")
-    found = None
+    found, refined = None, False
     while True:
         hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
         stars = scratch.cut(rows.join(hubs, "bucket").where("id <> hub"))
@@ -168,6 +168,11 @@ def family_links(sets: DataFrame, scratch: Scratch, far: float = FAR) -> DataFra
         if judged.where("not near").isEmpty():
             return found
         rows = stars.join(judged.where("not near").select("hub", "id"), ["hub", "id"]).select("bucket", "id")
+        if not refined:
+            # what is left shares a passage more than a text: from here on, members must share a second band
+            # (linked ones share many), so a passage of very many documents doesn't cost a round for each
+            rows = rows.join(sets.select("id", F.explode("bands").alias("other")), "id").where("bucket <> other")
+            rows, refined = scratch.cut(rows.select(F.xxhash64("bucket", "other").alias("bucket"), "id")), True
 
 
 def linked_stars(ids: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -246,10 +251,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, one document of each component; of repeated rows one stays."""
-    kept = near_duplicates(docs, k, percent, id_col, text_col).where("kept").select(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    spark = docs.sparkSession
+    found = Scratch(spark, "kept").cut(near_duplicates(docs, k, percent, id_col, text_col).select("id", "mark", "kept"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"))
-    rows = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["mark"] == kept["kept_mark"]), "left_semi")
-    return rows.dropDuplicates(["id", "mark"]).select("row.*")
+    # rows that go, or that repeat, share one of PICKS hash values with few others: only those are shuffled
+    pick = F.pmod("mark", F.lit(PICKS)).alias("pick")
+    repeated = found.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    picks = F.broadcast(found.where("not kept").select(pick).unionByName(repeated.select(pick)).distinct())
+    rows = rows.withColumn("pick", pick)
+    clear = rows.join(picks, "pick", "left_anti").select("row.*")
+    asked = rows.join(picks, "pick", "left_semi").drop("pick")
+    kept = found.where("kept").select(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    asked = asked.join(kept, asked["id"].eqNullSafe(kept["kept_id"]) & (asked["mark"] == kept["kept_mark"]), "left_semi")
+    return clear.unionByName(asked.dropDuplicates(["id", "mark"]).select("row.*"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
