@@ -63,7 +63,11 @@ def shard_linked(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id"
     last = None
     for _ in range(rounds):
         votes = state.where("unit is not null").groupBy("unit", "shard").agg(F.count("*").alias("n"))
-        wins = votes.groupBy("unit").agg(F.max_by("shard", F.struct("n", F.xxhash64("unit", "shard"))).alias("want"))
+        # a full shard is no goal: what counts is how many of the unit could be there, then how many are
+        room = state.where("unit is null").groupBy("shard").agg(F.count("*").alias("free"))
+        size = F.sum("n").over(Window.partitionBy("unit"))
+        votes = votes.join(F.broadcast(room), "shard", "left").withColumn("could", F.col("n") + F.least(F.coalesce("free", F.lit(0)), size - F.col("n")))
+        wins = votes.groupBy("unit").agg(F.max_by("shard", F.struct("could", "n", F.xxhash64("unit", "shard"))).alias("want"))
         asked = scratch.cut(state.join(wins, "unit", "left").withColumn("want", F.when(F.col("want") != F.col("shard"), F.col("want"))))
         flows = scratch.cut(asked.where("want is not null").groupBy("shard", "want").agg(F.count("*").alias("n")))
         wanting = flows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
