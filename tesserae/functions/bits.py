@@ -12,19 +12,21 @@ def byte_at(data: Column, offset: Column | int) -> Column:
     return F.conv(F.nullif(F.hex(F.substring(data, at + 1, F.lit(1))), F.lit("")), 16, 10).cast("long")
 
 
+def _swapped(hexes: Column, width: int) -> Column:
+    """The hex of that many bytes in the other order. One reference to its input keeps nested expressions small."""
+    return F.regexp_replace(hexes, "(..)" * width, "".join(f"${k}" for k in range(width, 0, -1)))
+
+
 def le_uint(data: Column, offset: Column | int, width: int) -> Column:
-    """An unsigned little-endian integer of `width` bytes."""
+    """An unsigned little-endian integer of `width` bytes; null past the end."""
     at = F.lit(offset) if isinstance(offset, int) else offset
-    out = byte_at(data, at)
-    for k in range(1, width):
-        out = out + F.shiftleft(byte_at(data, at + k), 8 * k)
-    return out
+    hexes = F.hex(F.substring(data, at + 1, F.lit(width)))
+    return F.when(F.octet_length(data) >= at + width, F.conv(_swapped(hexes, width), 16, 10).cast("long"))
 
 
 def le_bytes(value: Column, width: int) -> Column:
-    """The little-endian bytes of an unsigned value."""
-    v = value.cast("long")
-    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(v, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(width)]))
+    """The little-endian bytes of an unsigned value that fits."""
+    return F.unhex(_swapped(F.lpad(F.hex(value.cast("long")), 2 * width, "0"), width))
 
 
 def text_bytes(text: str) -> Column:

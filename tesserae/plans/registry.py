@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import argb, byte_at, channel, le_bytes, le_uint
 from ..operators import container as C
 from ..operators import demux as D
-from ..operators import alpha, errors, pixels, prefix_codes, vp8, vp8l
+from ..operators import alpha, errors, mux, pixels, prefix_codes, vp8, vp8_header, vp8l
 from ..sources import files, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,4 +422,29 @@ def k02(spark, d):
     return files.verify_manifest(expected, img.where("img_id % 5 <> 0").drop("img_id")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("c02_remux", "select doc_id, true as same, (12 + 18 + 14 + 8 + strlen(lang) + strlen(lang) % 2 + 8 + strlen(source) + strlen(source) % 2 + 8 + strlen(text) + strlen(text) % 2)::bigint as file_size from documents")
+def c02(spark, d):
+    """Canonical files come back byte for byte."""
+    source = fixtures.annotated(spark, d)
+    again = mux.remux_files(source, "doc_id").select("doc_id", F.sha2("content", 256).alias("h"), F.octet_length("content").cast("long").alias("file_size"))
+    return again.join(source.select("doc_id", F.sha2("content", 256).alias("g")), "doc_id").select("doc_id", (F.col("h") == F.col("g")).alias("same"), "file_size")
+
+
+@query("b27_metadata", "select doc_id, sha256(encode(lang)) as icc_sha256, sha256(encode(source)) as exif_sha256, sha256(encode(text)) as xmp_sha256 from documents")
+def b27(spark, d):
+    source = fixtures.annotated(spark, d)
+    rows = D.demux(source, "doc_id").select("doc_id", F.explode("chunks").alias("c")).join(source, "doc_id")
+    payload = F.sha2(C.payload_of(F.col("content"), F.col("c.payload_offset"), F.col("c.payload_size")), 256)
+    of = lambda tag, name: F.max(F.when(F.col("c.tag") == tag, payload)).alias(name)
+    return rows.groupBy("doc_id").agg(of("ICCP", "icc_sha256"), of("EXIF", "exif_sha256"), of("XMP ", "xmp_sha256"))
+
+
+@query("i07_frame_header", """select p_partkey as img_id, null::varchar as error, p_size::bigint as width, p_partkey % 64 + 1 as height, p_partkey % 2 = 0 as segmented, case when p_partkey % 2 = 0 then [p_partkey % 128, 1, -5, 127] else [0, 0, 0, 0] end as quant,
+  p_partkey % 64 as level, p_partkey % 8 as sharpness, pow(2, p_partkey % 4)::bigint as partitions, p_partkey % 128 as base_q, [p_partkey % 16, -(p_partkey % 7), 0, 3, -15] as q_deltas from part""")
+def i07(spark, d):
+    """Headers written by the arithmetic coder and read back."""
+    out = vp8_header.read_headers(fixtures.frame_headers(spark, d), "img_id")
+    return out.select("img_id", "error", "width", "height", "segmented", "quant", "level", "sharpness", "partitions", "base_q", "q_deltas")
+
+
 __all__ = ["QUERIES", "SQL", "byte_at"]

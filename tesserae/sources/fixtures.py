@@ -125,3 +125,20 @@ def alpha_payloads(spark: SparkSession, d: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "payload", "width", "height"])
 
     return rows.mapInArrow(run, "doc_id long, payload binary, width int, height int")
+
+
+def frame_headers(spark: SparkSession, d: str) -> DataFrame:
+    """A lossy frame header per part."""
+    from ..operators.vp8_header import write_header
+
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_size").cast("long").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for k, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                segments = [k % 128, 1, -5, 127] if k % 2 == 0 else None
+                made.append(write_header(w, k % 64 + 1, segments, k % 64, k % 8, k % 4, k % 128, [k % 16, -(k % 7), 0, 3, -15]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["img_id", "payload"])
+
+    return rows.mapInArrow(run, "img_id long, payload binary")
