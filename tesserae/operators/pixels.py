@@ -28,6 +28,8 @@ def color_inverse(p: Column, element: Column) -> Column:
 def block_lookup(px: DataFrame, blocks: DataFrame, bits: int, name: str = "element") -> DataFrame:
     """Adds each pixel's block value: an equi-join on the image and the shifted coordinates."""
     b = blocks.select("img_id", "bx", "by", F.col("argb").alias(name))
+    # block tables grow with the images: sized by rows, never broadcast on a guess
+    b = b.hint("merge")
     return px.withColumns({"bx": F.shiftright("x", bits), "by": F.shiftright("y", bits)}).join(b, ["img_id", "bx", "by"])
 
 
@@ -44,7 +46,7 @@ def palette_bits(size: Column) -> Column:
 
 def palette_expand(packed: DataFrame, palette: DataFrame) -> DataFrame:
     """Index pixels to colours; what the palette lacks is transparent black."""
-    return packed.join(palette.select("img_id", "idx", F.col("argb").alias("color")), ["img_id", "idx"], "left").withColumn("color", F.coalesce("color", F.lit(0).cast("long")))
+    return packed.join(palette.select("img_id", "idx", F.col("argb").alias("color")).hint("merge"), ["img_id", "idx"], "left").withColumn("color", F.coalesce("color", F.lit(0).cast("long")))
 
 
 def neighbours(px: DataFrame, width: int) -> DataFrame:
@@ -88,19 +90,22 @@ def swizzled(p: Column, order: str) -> Column:
 
 
 def horizontal(plane: DataFrame) -> DataFrame:
-    """Alpha plane rows (img_id, y, x, d): running sums in the row, seeded by those of the first column."""
-    row = Window.partitionBy("img_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    column = Window.partitionBy("img_id").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    first = plane.where("x = 0").select("img_id", "y", (F.sum("d").over(column) - F.col("d")).alias("seed"))
-    return plane.withColumn("s", F.sum("d").over(row)).join(first, ["img_id", "y"]).withColumn("o", low_byte(F.col("s") + F.col("seed")))
+    """Alpha plane rows (img_id, i, x, y, d): running sums in the row, seeded by those of the first column.
+
+    One order serves all sums, so there is one sort and no join."""
+    order = Window.partitionBy("img_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    at_first = lambda c: F.when(F.col("x") == 0, c)
+    rows = plane.withColumns({"s": F.sum("d").over(order), "seed": F.sum(at_first(F.col("d"))).over(order)})
+    start = F.last(at_first(F.col("s")), ignorenulls=True).over(order)
+    return rows.withColumn("o", low_byte(F.col("s") - start + F.col("seed")))
 
 
 def vertical(plane: DataFrame) -> DataFrame:
     """Running sums down each column; the first row is a running sum of its own."""
-    top = Window.partitionBy("img_id").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("img_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     column = Window.partitionBy("img_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    first = plane.where("y = 0").select("img_id", "x", (F.sum("d").over(top) - F.col("d")).alias("seed"))
-    return plane.withColumn("s", F.sum("d").over(column)).join(first, ["img_id", "x"]).withColumn("o", low_byte(F.col("s") + F.col("seed")))
+    rows = plane.withColumn("top", F.sum(F.when(F.col("y") == 0, F.col("d"))).over(order))
+    return rows.withColumn("o", low_byte(F.sum("d").over(column) - F.first("d").over(column) + F.first("top").over(column)))
 
 
 def gradient_fold(data: Column, width: int) -> Column:

@@ -93,7 +93,7 @@ select doc_id, seq::bigint as seq, tag, payload_size, payload_sha256, (12 + coal
 def b09(spark, d):
     """Walks the chunks, slices every payload and hashes it (also the mux's size and offset sums, and metadata extraction)."""
     source = fixtures.annotated(spark, d)
-    rows = D.demux(source, "doc_id").select("doc_id", F.posexplode("chunks").alias("seq", "c")).join(source, "doc_id")
+    rows = D.demux(source, "doc_id").select("doc_id", F.posexplode("chunks").alias("seq", "c")).join(source.hint("merge"), "doc_id")
     payload = C.payload_of(F.col("content"), F.col("c.payload_offset"), F.col("c.payload_size"))
     return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("c.tag").alias("tag"), F.col("c.payload_size").alias("payload_size"), F.sha2(payload, 256).alias("payload_sha256"), F.col("c.offset").alias("chunk_offset"))
 
@@ -433,7 +433,7 @@ def c02(spark, d):
 @query("b27_metadata", "select doc_id, sha256(encode(lang)) as icc_sha256, sha256(encode(source)) as exif_sha256, sha256(encode(text)) as xmp_sha256 from documents")
 def b27(spark, d):
     source = fixtures.annotated(spark, d)
-    rows = D.demux(source, "doc_id").select("doc_id", F.explode("chunks").alias("c")).join(source, "doc_id")
+    rows = D.demux(source, "doc_id").select("doc_id", F.explode("chunks").alias("c")).join(source.hint("merge"), "doc_id")
     payload = F.sha2(C.payload_of(F.col("content"), F.col("c.payload_offset"), F.col("c.payload_size")), 256)
     of = lambda tag, name: F.max(F.when(F.col("c.tag") == tag, payload)).alias(name)
     return rows.groupBy("doc_id").agg(of("ICCP", "icc_sha256"), of("EXIF", "exif_sha256"), of("XMP ", "xmp_sha256"))
