@@ -59,7 +59,8 @@ def lossless_files(spark: SparkSession, d: str) -> DataFrame:
     """A complete 8 by 8 lossless file per part, written from the pixels' formula."""
     from ..operators.vp8l import write_image
 
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("img_id"))
+    # an image costs milliseconds and its key a few bytes: dealt by number of tasks, not by size
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("img_id")).repartition(4 * spark.sparkContext.defaultParallelism, "img_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
