@@ -107,6 +107,29 @@ class Model:
         return (self.vectors @ (self.output[:, 1] - self.output[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+class Bags:
+    """Bucket numbers and shares of many texts in two long arrays, which go back to the system whole when done."""
+
+    def __init__(self):
+        self.ids, self.shares, self.ends = np.empty(1 << 20, np.int32), np.empty(1 << 20, np.float32), [0]
+
+    def add(self, features: np.ndarray) -> None:
+        ids, counts = np.unique(features, return_counts=True)
+        a, b = self.ends[-1], self.ends[-1] + len(ids)
+        while b > len(self.ids):
+            self.ids, self.shares = (np.concatenate([x, np.empty_like(x)]) for x in (self.ids, self.shares))
+        self.ids[a:b], self.shares[a:b] = ids, counts / max(1, counts.sum())
+        self.ends.append(b)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i >= len(self):
+            raise IndexError(i)
+        return self.ids[self.ends[i] : self.ends[i + 1]], self.shares[self.ends[i] : self.ends[i + 1]]
+
+
 def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
     hasher = Hasher(buckets)
@@ -116,10 +139,9 @@ def train(texts: list[str], labels: list[int], buckets: int = BUCKETS, dim: int
     bias = np.array([0.0, np.log(share / (1 - share))])
     if len(set(labels)) < 2:
         return Model(vectors, output, bias)
-    bags = []
+    bags = Bags()
     for t in texts:
-        ids, counts = np.unique(hasher(t), return_counts=True)
-        bags.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
+        bags.add(hasher(t))
     y = np.array(labels)
     # the rarer label's rows weigh more while the vectors are learned; the bias is set right at the end
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
