@@ -23,10 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch: whole texts are long, and both sides of the Python boundary hold a batch or two.
+BATCH_ROWS = 512
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default of 10,000 rows a batch; any other setting is the user's and stays."""
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 class Scratch:
     """Written intermediate tables. They cut lineage, outlive lost executors and are dropped once superseded."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -49,6 +61,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
