@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .demux import need, u
@@ -109,3 +109,29 @@ def read_headers(rows: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return rows.select(F.col(key).cast("long").alias(key), "payload").mapInArrow(run, schema).withColumn("category", category(F.col("error")))
+
+
+def split_partitions(rows: DataFrame, key: str) -> DataFrame:
+    """(key, payload) -> the coefficient partitions as bytes, or the error; a header that can't be read gives its own."""
+    from .demux import arrow_type
+
+    schema = f"{key} long, error string, partitions array<binary>"
+    arrow = arrow_type(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    count = read_header(payload)["partitions"]
+                    out.append({key: k, "partitions": token_partitions(payload, u(payload, 0, 3) >> 5, count)})
+                except ImageError as e:
+                    out.append({key: k, "error": e.name})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return rows.select(F.col(key).cast("long").alias(key), "payload").mapInArrow(run, schema)
+
+
+def partition_of(row: Column, count: Column) -> Column:
+    """The partition that holds a row of macroblocks."""
+    return F.pmod(row, count)

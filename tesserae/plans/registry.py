@@ -447,4 +447,19 @@ def i07(spark, d):
     return out.select("img_id", "error", "width", "height", "segmented", "quant", "level", "sharpness", "partitions", "base_q", "q_deltas")
 
 
+@query("i10_token_partitions", """select p_partkey as img_id, null::varchar as error, k::bigint as part, ((p_partkey * 7 + k * 13) % 50 + 1)::bigint as size, ((p_partkey + k) % 256)::bigint as first_byte from part, unnest(range(8)) t(k) where p_partkey % 11 <> 0 and k < pow(2, p_partkey % 4)
+  union all select p_partkey, 'TruncatedBitstream', null, null, null from part where p_partkey % 11 = 0""")
+def i10(spark, d):
+    out = vp8_header.split_partitions(fixtures.partitioned_frames(spark, d), "img_id")
+    rows = out.select("img_id", "error", F.posexplode_outer("partitions").alias("part", "bytes"))
+    return rows.select("img_id", "error", F.col("part").cast("long").alias("part"), F.octet_length("bytes").cast("long").alias("size"), byte_at(F.col("bytes"), 0).alias("first_byte"))
+
+
+@query("i19_partition_rows", f"with {IMG}, r as (select img_id, unnest(range(ceil(h / 16.0)::bigint)) as y from img) select img_id, y % pow(2, img_id % 4)::bigint as part, count(*)::bigint as macroblock_rows from r group by 1, 2")
+def i19(spark, d):
+    count = F.expr("shiftleft(1L, cast(img_id % 4 as int))")
+    rows = fixtures.images(spark, d).select("img_id", F.explode(F.sequence(F.lit(0).cast("long"), vp8.macroblocks(F.col("h")) - 1)).alias("y"))
+    return rows.groupBy("img_id", vp8_header.partition_of(F.col("y"), count).alias("part")).agg(F.count("*").alias("macroblock_rows"))
+
+
 __all__ = ["QUERIES", "SQL", "byte_at"]

@@ -143,3 +143,19 @@ def frame_headers(spark: SparkSession, d: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["img_id", "payload"])
 
     return rows.mapInArrow(run, "img_id long, payload binary")
+
+
+def partitioned_frames(spark: SparkSession, d: str) -> DataFrame:
+    """A frame header per part with its coefficient partitions behind it; every eleventh lacks the last one."""
+    rows = frame_headers(spark, d).select("img_id", "payload", F.expr("shiftleft(1L, cast(img_id % 4 as int))").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for k, head, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = [bytes([(k + p) % 256]) * ((k * 7 + p * 13) % 50 + 1) for p in range(n)]
+                sizes = b"".join(len(p).to_bytes(3, "little") for p in parts[:-1])
+                made.append(head + sizes + b"".join(parts[:-1] if k % 11 == 0 else parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["img_id", "payload"])
+
+    return rows.mapInArrow(run, "img_id long, payload binary")
