@@ -65,31 +65,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], counts_from: DataFrame | None = None, name: str = "rank", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], counts_from: DataFrame | None = None, name: str = "rank", slice_rows: int = SLICE_ROWS, lead: list[str] | None = None, spread: Column | None = None) -> DataFrame:
     """Adds a gapless long rank from 0 within `keys` (never null). No task sorts a whole key.
 
     A key's rows are dealt by a hash of `order` into slices of about `slice_rows`; ranks follow the slice,
     then `order`, so that a small key is simply sorted by `order`. Counts by slice give each slice's first
     rank. `order` must decide all ties but those of rows that are alike.
     counts_from: the same rows, already written, so that counting does not repeat their work.
+    lead, spread: ranks follow `order` alone, whatever `slice_rows`. lead: columns (never null) that `order`
+    begins with, each value having slices of its own; spread: what comes next in `order`, as a long of 32 bits
+    spread evenly, by whose ranges the slices are cut.
     """
     slim = counts_from if counts_from is not None else df
-    mix = F.xxhash64(*order)
+    cells = [*keys, *(lead or [])]
 
     def sliced(rows: DataFrame, sizes: DataFrame | None, n: int) -> DataFrame:
         slices = F.lit(n) if sizes is None else F.col("_slices")
-        rows = rows if sizes is None else rows.join(sizes, keys)
-        return rows.withColumn("_slice", F.pmod(mix, slices))
+        rows = rows if sizes is None else rows.join(sizes, cells)
+        return rows.withColumn("_slice", F.pmod(F.xxhash64(*order), slices) if spread is None else F.shiftright(spread * slices, 32))
 
     sizes, n = None, 1
-    if keys:
-        sizes = slim.groupBy(*keys).agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("_slices"))
+    if cells:
+        sizes = slim.groupBy(*cells).agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("_slices"))
     else:
         n = max(1, -(-slim.count() // slice_rows))
-    counts = sliced(slim, sizes, n).groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced(slim, sizes, n).groupBy(*cells, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*(lead or []), "_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    within = Window.partitionBy(*cells, "_slice").orderBy(*order)
     out = sliced(df, sizes, n).withColumn("_at", F.row_number().over(within) - 1)
-    out = out.join(offsets, [*keys, "_slice"])
+    out = out.join(offsets, [*cells, "_slice"])
     return out.withColumn(name, (F.col("_first") + F.col("_at")).cast("long")).drop("_slice", "_slices", "_at", "_first")

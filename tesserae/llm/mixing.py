@@ -3,11 +3,12 @@
 Every document of a source is expected target / source size times. Documents of a source are put in one
 order; the prefix sum of expected copies is rank * rate, taken as a product so that it is the same in every
 run; one random offset (from the seed and the source) is added, and a document comes out once for each
-integer that its step crosses. The order follows the size class, then slices of a hash, so that any stretch
-of it holds all kinds of documents and the taken words stay near the target.
+integer that its step crosses. The order is (size, md5 of seed and id, id), at every number of rows, so that
+any stretch of it holds like sizes and the taken words stay near the target.
 
-Scale: ranks come from slice counts (see common.ranked); no task sorts a whole source. Only one row per
-source is ever sorted in one task.
+Scale: ranks come from counts of slices, which are ranges of that order (see common.ranked); no task sorts a
+whole source. Offsets are summed by size class, then over the classes of a source; only one row per source is
+ever sorted in one task.
 
 Defined cases: null text counts 0 words; null sources are one source, last in order; repeated rows are
 documents of their own; an empty table gives no rows; a source without words takes nothing; other columns,
@@ -66,9 +67,11 @@ def _planned(docs: DataFrame, slim: DataFrame, seed: str, share: float, weights,
     aims = targets(sizes, share, weights, max_epochs)
     # size classes: steps of an eighth of a doubling, so that each stretch of the order has like sizes
     classes = F.floor(F.log2(F.col("mix_size") + 1) * 8).cast("int")
-    docs, slim = docs.withColumn("mix_class", classes), slim.withColumn("mix_class", classes)
-    order = [F.col("mix_size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("mix_id").cast("string"), F.lit("")))), F.col("mix_id")]
-    out = ranked(docs, ["mix_key", "mix_class"], order, counts_from=slim, name="mix_at", slice_rows=slice_rows)
+    mark = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("mix_id").cast("string"), F.lit(""))))
+    docs, slim = (x.withColumn("mix_class", classes).withColumn("mix_mark", mark) for x in (docs, slim))
+    order = [F.col("mix_size"), F.col("mix_mark"), F.col("mix_id")]
+    spread = F.conv(F.substring("mix_mark", 1, 8), 16, 10).cast("long")
+    out = ranked(docs, ["mix_key", "mix_class"], order, counts_from=slim, name="mix_at", slice_rows=slice_rows, lead=["mix_size"], spread=spread)
     firsts = slim.groupBy("mix_key", "mix_class").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_key").orderBy("mix_class").rowsBetween(Window.unboundedPreceding, -1)
     firsts = firsts.select("mix_key", "mix_class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_first")).join(aims, "mix_key")

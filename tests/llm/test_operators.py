@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -361,3 +363,23 @@ def test_mixing(spark):
     assert whole.columns == df.columns and whole.count() == sum(x.copies for x in p)
     assert sorted(map(str, p)) == sorted(map(str, mixing.plan(df).collect()))
     assert mixing.plan(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_mixing_takes_the_same_documents_at_every_size(spark, tmp_path, monkeypatch):
+    """Against the registered SQL: a group of equal texts above SLICE_ROWS, classes of several sizes, a null source."""
+    text = F.expr("case when id < 21000 then 'same' else repeat('w ', cast(2 + id * id % 90 as int)) end")
+    df = spark.range(27_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.expr("case when id < 25000 then 'a' when id < 26000 then 'b' end").alias("source"))
+    df.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    want = {i: taken // size for i, size, taken in con.sql(f"select doc_id, size, taken from ({mixing.OP10_SQL})").fetchall()}
+    df = spark.read.parquet(f"{tmp_path}/documents")
+
+    def check():
+        assert {r.doc_id: r.copies for r in mixing.plan(df).collect()} == want
+        assert Counter(r.doc_id for r in mixing.mixed(df).select("doc_id").collect()) == Counter(want)
+
+    check()
+    monkeypatch.setattr(mixing._planned, "__defaults__", (50,))
+    monkeypatch.setattr(mixing, "WHOLE_ROWS", 7)
+    check()
