@@ -5,6 +5,11 @@ through a keyed Feistel permutation of that domain (cycle-walking keeps it insid
 same shape. Equal values get equal pseudonyms in all documents, whatever their separators, without any
 table of values; whoever holds the key can invert them. What doesn't validate stays as it is.
 
+IBANs may hold capital letters after the check digits; letters become letters, digits digits. A date with
+slashes or dots is read day first and, where that is no date, month first. Month-first dates are permuted
+among those of days above 12, so that they can be told apart when inverted; one date written in both ways
+therefore gets two pseudonyms.
+
 Scale: one narrow pass; no shuffle, no state; memory is one Arrow batch. Python, since the permutation works
 on integers of up to 130 bits.
 
@@ -36,13 +41,20 @@ NUMBERS = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]")
 EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 EMAIL_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 SECRET = re.compile(r"""(?<=["'])[0-9A-Za-z_\-]{20,128}(?=["'])|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])""")
-IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?(?![0-9A-Za-z])")
+IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 IPV4 = re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])")
 CARD = re.compile(r"(?<![\w\-])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![\w])")
 PHONE = re.compile(r"(?<![\w+])(?:\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}|\+(?!1[ .\-(])[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[.\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?!\w)")
 SSN = re.compile(r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])")
 ISO_DATE = re.compile(r"(?<![\w\-])([0-9]{4})-([0-9]{2})-([0-9]{2})(?![0-9]|-[0-9])")
-DAY_FIRST = re.compile(r"(?<![\w/.])([0-9]{1,2})([/.])([0-9]{1,2})\2([0-9]{4})(?![0-9]|[/.][0-9])")
+DAY_MONTH = re.compile(r"(?<![\w/.])([0-9]{1,2})([/.])([0-9]{1,2})\2([0-9]{4})(?![0-9]|[/.][0-9])")
+#: Countries by the length of their IBANs (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTH = {country: n for n, countries in IBAN_LENGTHS.items() for country in countries.split()}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -93,10 +105,10 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
-def _reshape(shape: str, digits: str) -> str:
-    """The shape with its digits replaced in order."""
-    it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+def _reshape(shape: str, symbols: str) -> str:
+    """The shape with its letters and digits replaced in order."""
+    it = iter(symbols)
+    return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
 def _digits(text: str) -> str:
@@ -138,10 +150,20 @@ def iban(f: Feistel, m: re.Match, inverse: bool = False) -> str | None:
     number = lambda country, bban, check: int("".join(str(int(c, 36)) for c in bban + country + check))
     if not 15 <= len(v) <= 34 or number(v[:2], v[4:], v[2:4]) % 97 != 1:
         return None
-    bban = f.digits("iban" + v[:2], v[4:], inverse)
+    bban = f.symbols("iban" + v[:2], v[4:], [DIGITS if c.isdigit() else LETTERS.upper() for c in v[4:]], inverse)
     return v[:2] + _reshape(m[0][2:], f"{98 - number(v[:2], bban, '00') % 97:02}" + bban)
 
 
+def iban_ends(m: re.Match) -> list[int]:
+    """Where the value may end, as capitals and digits in groups may follow it: at its country's length, else at the
+    end of the match; for countries without a known length after any group, the last one first."""
+    v = m[0]
+    ends = [k for k in range(len(v), 14, -1) if k == len(v) or v[k] == " "]
+    if (n := IBAN_LENGTH.get(v[:2])) is not None:
+        ends = [*(k for k in ends if len(v[:k].replace(" ", "")) == n), len(v)]
+    return [m.start() + k for k in ends]
+
+
 def ipv4(f: Feistel, m: re.Match, inverse: bool = False) -> str | None:
     parts = [int(x) for x in m[0].split(".")]
     if max(parts) > 255:
@@ -165,9 +187,14 @@ def iso_date(f: Feistel, m: re.Match, inverse: bool = False) -> str | None:
     return d and d.isoformat()
 
 
-def day_first(f: Feistel, m: re.Match, inverse: bool = False) -> str | None:
-    d = _date(f, int(m[4]), int(m[3]), int(m[1]), inverse)
-    return d and f"{d.day:02}{m[2]}{d.month:02}{m[2]}{d.year:04}"
+def day_month(f: Feistel, m: re.Match, inverse: bool = False) -> str | None:
+    a, b, year = int(m[1]), int(m[3]), int(m[4])
+    if d := _date(f, year, b, a, inverse):
+        return f"{d.day:02}{m[2]}{d.month:02}{m[2]}{d.year:04}"
+    d = _date(f, year, a, b, inverse)  # b is above 12, else it were a date day first
+    while d and d.day <= 12:
+        d = _date(f, d.year, d.month, d.day, inverse)
+    return d and f"{d.month:02}{m[2]}{d.day:02}{m[2]}{d.year:04}"
 
 
 def secret(f: Feistel, m: re.Match, inverse: bool = False) -> str | None:
@@ -193,7 +220,7 @@ def email(f: Feistel, local: str, domain: str, inverse: bool = False) -> str:
     return _alnum(f, "local", local.lower(), inverse) + "@" + ".".join(_alnum(f, "label", x.lower(), inverse) for x in names.split(".")) + "." + top
 
 
-NUMERIC = (("ipv4", IPV4, ipv4), ("card", CARD, card), ("ssn", SSN, ssn), ("date", ISO_DATE, iso_date), ("date", DAY_FIRST, day_first), ("phone", PHONE, phone))
+NUMERIC = (("ipv4", IPV4, ipv4), ("card", CARD, card), ("ssn", SSN, ssn), ("date", ISO_DATE, iso_date), ("date", DAY_MONTH, day_month), ("phone", PHONE, phone))
 
 
 def pseudonymise(text: str, f: Feistel, inverse: bool = False) -> tuple[str, Counter]:
@@ -219,9 +246,15 @@ def pseudonymise(text: str, f: Feistel, inverse: bool = False) -> tuple[str, Cou
     for m in SECRET.finditer(text):
         if free(m.start(), m.end()) and (new := secret(f, m, inverse)):
             add(m.start(), m.end(), "secret", new)
-    for m in IBAN.finditer(text):
-        if free(m.start(), m.end()) and (new := iban(f, m, inverse)):
-            add(m.start(), m.end(), "iban", new)
+    m = IBAN.search(text)
+    while m:
+        a, after = m.start(), m.start() + 1
+        for b in iban_ends(m):
+            if free(a, b) and (new := iban(f, IBAN.fullmatch(text, a, b), inverse)):
+                add(a, b, "iban", new)
+                after = b
+                break
+        m = IBAN.search(text, after)
     for chunk in NUMBERS.finditer(text):
         a, b = chunk.span()
         if b - a < 7:

@@ -70,6 +70,28 @@ def test_pseudonyms(spark):
     assert pii.pseudonyms(df.limit(0), "key").count() == 0
 
 
+def test_ibans_with_letters_and_month_first_dates():
+    f = pii.Feistel("k")
+    valid = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    kinds = lambda v: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v))
+    real = ["GB29 NWBK 6016 1331 9268 19", "NL91ABNA0417164300", "FR1420041010050500013M02606", "IE29 AIBK 9311 5212 3456 78", "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S", "NO93 8601 1117 947", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+    for v in real:
+        for text in (v, f"to {v} EUR 1234 PAID", f"{v} {real[1]}", f"({v}), ok"):
+            out, found = pii.pseudonymise(text, f)
+            a = text.index(v)
+            new = out[a : a + len(v)]
+            assert found["iban"] == 1 + (text == f"{v} {real[1]}") and new != v and kinds(out) == kinds(text) and new[:2] == v[:2] and valid(new.replace(" ", ""))
+            assert out[:a] == text[:a] and pii.pseudonymise(out, f, inverse=True) == (text, found)
+    assert pii.pseudonymise("GB29 NWBK 6016 1331 9268 19", f)[0].replace(" ", "") == pii.pseudonymise("GB29NWBK60161331926819", f)[0]
+    assert pii.pseudonymise("GB28 NWBK 6016 1331 9268 19", f)[1]["iban"] == 0  # a wrong check digit
+    for month, day in itertools.product(range(1, 13), range(13, 29)):
+        text = f"born {month:02}/{day}/1990."
+        out, found = pii.pseudonymise(text, f)
+        m = re.fullmatch(r"born (\d\d)/(\d\d)/(\d{4})\.", out)
+        assert found == {"date": 1} and int(m[1]) <= 12 < int(m[2]) and pii.pseudonymise(out, f, inverse=True)[0] == text
+    assert pii.pseudonymise("12/05/1990", f)[1] == {"date": 1} and not pii.pseudonymise("13/25/1990 02/30/1990 31/04/1990", f)[1]
+
+
 def test_feistel_permutes():
     f = pii.Feistel("k")
     for size in (1, 2, 10, 97, 1000):
