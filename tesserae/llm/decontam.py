@@ -4,19 +4,20 @@ Texts and items are compared in lower case with every run of ASCII signs and spa
 characters may be altered by k = m // ERROR_PART edits. It is split into k + 1 pieces; k edits can't touch all
 of them, so any copy within the budget has one piece unaltered. One Aho-Corasick pass over the text finds all
 pieces; each hit names a window, and Myers' bit-parallel search finds the least edit distance in it, unless the
-window lacks more of the item's short grams than the budget's edits could spoil.
+window lacks more of the item's short grams than the budget's edits could spoil. Items under MIN_CHARS
+characters have no edits and must stand between word bounds; in scripts without spaces any place is one.
 
 Scale: one narrow pass over the documents, no shuffle; per document only hits are held. Items reach the
 executors in blocks of at most BLOCK_CHARS characters, however large the benchmark; more blocks are more passes.
 
-Defined cases: null and empty texts match nothing; null items and items under MIN_CHARS characters identify
-no benchmark and are not searched; items alike but for case and signs are each reported; repeated documents are
-each reported; an empty table on either side gives no matches; other columns, whatever their names, pass
+Defined cases: null and empty texts match nothing; null items and items of ASCII signs and spaces alone are not
+searched; items alike but for case and signs are each reported; repeated documents are each reported; an empty table on either side gives no matches; other columns, whatever their names, pass
 through `decontaminated` and are ignored by `matches`.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,7 +34,10 @@ from .common import table
 ERROR_PART = 12
 #: An edit spoils at most so many of an item's grams of that length; windows that lack more aren't measured.
 GRAM = 5
+#: Shorter items are searched without edits, at word bounds.
 MIN_CHARS = 25
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and ideographs: words aren't set apart.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 BLOCK_CHARS = 2_000_000
 _SIGNS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -42,6 +46,12 @@ def normal(text: str) -> str:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_SIGNS).split()).decode()
 
 
+def is_bound(text: str, at: int) -> bool:
+    """Whether no word goes on across the place."""
+    pair = text[at - 1 : at + 1] if at else ""
+    return len(pair) < 2 or not (pair[0].isalnum() and pair[1].isalnum()) or bool(UNSPACED.search(pair))
+
+
 def myers(pattern_bits: dict[str, int], m: int, text: str, most: int) -> tuple[int, int]:
     """(least edit distance of the pattern to any substring, end of the first substring with it); most + 1 if above."""
     mask, top = (1 << m) - 1, 1 << (m - 1)
@@ -67,7 +77,7 @@ class Matcher:
     """All pieces of a block of items in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, len(t) // ERROR_PART) for i, t in items]
+        self.items = [(i, t, len(t) // ERROR_PART if len(t) >= MIN_CHARS else 0) for i, t in items]
         self.bits: dict[int, dict[str, int]] = {}
         self.grams: dict[int, Counter] = {}
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -113,6 +123,14 @@ class Matcher:
             item_id, item, k = self.items[n]
             best, end = k + 1, -1
             ordered = sorted(starts)
+            if not k:
+                ends = (s + len(item) for s in ordered if is_bound(t, s) and is_bound(t, s + len(item)))
+                if (end := next(ends, -1)) < 0:
+                    continue
+                found.append((item_id, 0, 0, end))
+                if first_only:
+                    break
+                continue
             a = b = ordered[0]
             for s in [*ordered[1:], None]:
                 # windows of near starts are one
@@ -145,7 +163,7 @@ def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tu
     n = -(-total // block_chars)
     for i in range(n):
         mine = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield sorted({(r[0], x) for r in mine.toLocalIterator() if len(x := normal(r[1])) >= MIN_CHARS}, key=lambda r: (r[0] is None, r))
+        yield sorted({(r[0], x) for r in mine.toLocalIterator() if (x := normal(r[1]))}, key=lambda r: (r[0] is None, r))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -187,6 +187,15 @@ def test_decontamination_against_brute_force(spark):
     assert len(list(decontam.blocks(bench, 300))) > 2
 
 
+def test_decontamination_by_short_items(spark):
+    items = [(1, "What is Pi?"), (2, "日本の首都は東京です"), (3, "42 km"), (4, "?!"), (5, ""), (6, None), (7, "x" * 24)]
+    rows = [(1, "So: WHAT is pi, then?"), (2, "what is pivot"), (3, "それは日本の首都は東京ですと言う"), (4, "142 km, 42 kms"), (5, "142 km or 42\nkm"), (6, "what is po"), (7, "x" * 25), (8, "日本の首都は京都です"), (9, "what is pivot; what is pi"), (10, "?!")]
+    df = docs(spark, [(i, t, "a") for i, t in rows])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(m) for m in decontam.matches(df, bench).collect()) == [(1, 1, 0, 0, 13), (3, 2, 0, 0, 13), (5, 3, 0, 0, 15), (9, 1, 0, 0, 24)]
+    assert sorted(r.doc_id for r in decontam.decontaminated(df, bench).collect()) == [2, 4, 6, 7, 8, 10]
+
+
 # 5 nearest neighbours
 
 
