@@ -15,9 +15,11 @@ SLICE_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; without it (tests, one machine) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Without it a temporary one is set, on one machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -29,17 +31,42 @@ BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default of 10,000 rows a batch; any other setting is the user's and stays."""
+    """Lowers Spark's default of 10,000 rows a batch; any other setting is the user's and stays.
+
+    It isn't raised again: what the operators return is lazy and runs after they are done.
+    """
     if spark.conf.get(BATCH_CONF) == "10000":
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
+#: Folders of intermediate tables that this process has made and not dropped.
+_made: list[str] = []
+
+
+def made() -> list[str]:
+    return list(_made)
+
+
+def drop_made(spark: SparkSession, but: list[str]) -> None:
+    """Deletes the folders of intermediate tables but those given, as once whatever was built on them is written."""
+    for path in [p for p in _made if p not in but]:
+        _delete(spark, path)
+        _made.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
-    """Written intermediate tables. They cut lineage, outlive lost executors and are dropped once superseded."""
+    """Written intermediate tables. They cut lineage and outlive lost executors; `drop` and `finish` delete them."""
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.live: list[str] = []
+        _made.append(self.at)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,12 +74,22 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.live.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            jvm = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm, True)
+            _delete(self.spark, t._scratch_path)
+            self.live.remove(t._scratch_path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes the result and deletes all before it."""
+        before = list(self.live)
+        out = self.cut(df)
+        for path in before:
+            _delete(self.spark, path)
+            self.live.remove(path)
+        return out
 
 
 def lower_ascii(text: Column) -> Column:

@@ -11,24 +11,27 @@ from .common import Scratch
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """From links (a, b) of longs: (node, root), root being the least node reachable; nodes without links are absent.
 
-    Each step is an aggregate and a join per node, so no neighbourhood is gathered in one place; each round is
-    written, which cuts lineage. It ends when a round leaves all links as they were: then every link leads from a
-    node to its root.
+    A round is two aggregates and two joins, so no neighbourhood is gathered in one place. The aggregates are
+    written before they are joined: then a hub with very many links is a skewed side of a plain join, which
+    adaptive execution splits. It ends when each link leads from a node to its root.
+
+    Defined cases: links of a node with itself and repeated links count for nothing; links may be given either
+    way round; a null end drops the link; an empty table gives no rows; further columns are ignored.
     """
-    links = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    up, down = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    links = scratch.cut(edges.where("a <> b").select(up, down).distinct())
     while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        # each node's least smaller neighbour, and how many smaller ones it has
+        least = scratch.cut(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        above = least.select(F.col("a").alias("b"), F.col("m").alias("m"))
+        if least.where("n > 1").isEmpty() and links.join(above, "b", "left_semi").isEmpty():
+            scratch.drop(least)
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
         # large-star: a node's larger neighbours go to the least of all its neighbours and itself
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = scratch.cut(links.join(above, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        scratch.drop(least, links)
         # small-star: a node and its smaller neighbours go to the least of them
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = scratch.cut(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
-        scratch.drop(links)
-        links = new
+        least = scratch.cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = large.join(least.where("n > 1").select("a", "m"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = scratch.cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        scratch.drop(least, large)

@@ -7,16 +7,19 @@ of it name candidates; signatures confirm them; full sets decide; components joi
 2. Each band bucket becomes a star around its least member; members whose signatures are far from that one's
    form a star of their own in a next round, until none is left. So a bucket costs its size, never its pairs.
 3. Components of these stars are families: every link lies within one.
-4. Each family gets its texts once. Sets are compared in full, all against all, as sparse products within
-   the task, and only a spanning star of what is linked comes out. A large family is dealt into blocks, and pairs
-   of blocks into tasks, so memory is bounded and nothing is left out.
+4. Sets are compared in full, as sparse products within a task, and only a spanning star of what is linked comes
+   out. A family of one block is compared all against all. The members of a larger one are first compared with
+   HUBS of its members: near copies of one text are then one cluster, at a cost that follows the family's size.
+   What is outside the largest cluster is compared with the whole family, block by block, each pair of blocks a
+   task, so memory is bounded and no pair that could still join two clusters is left out.
 5. Components of those links are the result.
 
-Bands are chosen so that a pair at the threshold shares none with a probability under MISS.
+Bands are chosen so that a pair at the threshold shares fewer than two with a probability under MISS (one is enough
+in the first round, later rounds ask for two).
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; fewer than k
 words are one shingle of their own kind; repeated rows are alike and in one component; one doc_id with several
-texts counts as several documents; rows with a null doc_id are linked with nothing and kept; very long texts
+texts counts as several documents, in one component if any is linked; rows with a null doc_id are linked with nothing and kept; very long texts
 are hashed whole; an empty table gives no rows; other columns, whatever their names, pass through `deduplicated`.
 """
 
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_UPPER, Scratch, table
 from .components import components
 
-MINIMA = 180
+MINIMA = 216
 MISS = 1e-6
 #: Signatures that agree in less than this share are no family. It is far below any threshold: documents that are
 #: linked through others come to one hub in few rounds, and what only shares passages stays apart.
@@ -47,6 +50,8 @@ PICKS = 1 << 18
 #: A family's block holds so many members, and so many shingles, on average at most.
 BLOCK_MEMBERS = 2000
 BLOCK_SHINGLES = 2_000_000
+#: Members of a family of several blocks that all others are compared with first.
+HUBS = 8
 SEED = 5
 
 _LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_UPPER.lower().encode())
@@ -89,10 +94,11 @@ class Shingles:
 
 
 def banding(threshold: float, minima: int = MINIMA, miss: float = MISS) -> tuple[int, int]:
-    """(bands, rows a band): the longest bands that miss a pair at the threshold rarely enough."""
+    """(bands, rows a band): the longest bands of which a pair at the threshold rarely enough shares fewer than two."""
     for rows in range(12, 0, -1):
-        if (1 - threshold**rows) ** (minima // rows) <= miss:
-            return minima // rows, rows
+        bands, same = minima // rows, threshold**rows
+        if (1 - same) ** bands + bands * same * (1 - same) ** (bands - 1) <= miss:
+            return bands, rows
     return minima, 1
 
 
@@ -158,7 +164,8 @@ def family_links(sets: DataFrame, scratch: Scratch, far: float = FAR) -> DataFra
     prints = sets.select("id", "signature")
     found, refined = None, False
     while True:
-        hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+        # written, so that a bucket with very many members is a skewed side of a plain join
+        hubs = scratch.cut(rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
         stars = scratch.cut(rows.join(hubs, "bucket").where("id <> hub"))
         pairs = stars.select("hub", "id").distinct()
         pairs = pairs.join(prints.select(F.col("id").alias("hub"), F.col("signature").alias("s")), "hub").join(prints.withColumnRenamed("signature", "t"), "id")
@@ -170,7 +177,7 @@ def family_links(sets: DataFrame, scratch: Scratch, far: float = FAR) -> DataFra
         rows = stars.join(judged.where("not near").select("hub", "id"), ["hub", "id"]).select("bucket", "id")
         if not refined:
             # what is left shares a passage more than a text: from here on, members must share a second band
-            # (linked ones share many), so a passage of very many documents doesn't cost a round for each
+            # (linked ones share two, see `banding`), so a passage of very many documents doesn't cost a round for each
             rows = rows.join(sets.select("id", F.explode("bands").alias("other")), "id").where("bucket <> other")
             rows, refined = scratch.cut(rows.select(F.xxhash64("bucket", "other").alias("bucket"), "id")), True
 
@@ -211,24 +218,70 @@ def linked_stars(ids: list[int], sets: list[np.ndarray], side: np.ndarray, perce
     return [(int(i), int(r)) for i, r in zip(ids_, label, strict=True) if i != r]
 
 
+def hub_links(rows: DataFrame, hubs: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows: family, part, id, text; hubs: family, id, text, parts -> links (a, b) of members with hubs, on full sets."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        shingles = Shingles(k)
+        centres = [(h.id, shingles(h.text)) for h in group[group["is_hub"]].drop_duplicates(["id", "text"]).itertuples()]
+        out = []
+        for m in group[~group["is_hub"]].itertuples():
+            s = shingles(m.text)
+            for hub, c in centres:
+                both = int((c[np.minimum(np.searchsorted(c, s), len(c) - 1)] == s).sum())
+                if hub != m.id and 100 * both >= percent * (len(s) + len(c) - both):
+                    out.append((hub, m.id))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    copies = hubs.select("family", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "id", "text", F.lit(True).alias("is_hub"))
+    both = rows.select("family", "part", "id", "text", F.lit(False).alias("is_hub")).unionByName(copies)
+    return both.groupBy("family", "part").applyInPandas(run, "a long, b long")
+
+
 def confirmed_links(members: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """members: id, mark, n_shingles, family; texts: id, mark, text -> links (a, b), confirmed on full sets."""
-    weight = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("parts"))
-    rows = members.join(weight, "family").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    """members: id, mark, n_shingles, family; texts: id, mark, text -> links (a, b), confirmed on full sets.
+
+    Families of one block are compared all against all. In larger ones clusters around hubs come first; a pair
+    within the largest cluster can join nothing any more, so pairs with a member outside of it are what is left.
+    """
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int")
+    weight = scratch.cut(members.groupBy("family").agg(blocks.alias("parts")))
     pick = F.pmod("mark", F.lit(PICKS)).alias("pick")
-    picked = texts.withColumn("pick", pick).join(F.broadcast(members.select(pick).distinct()), "pick", "left_semi")
-    rows = picked.drop("pick").join(rows, ["id", "mark"])
-    other = F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
-    rows = rows.select("family", "id", "text", "part", other)
-    rows = rows.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "text")
+    picked = texts.withColumn("pick", pick).join(F.broadcast(members.select(pick).distinct()), "pick", "left_semi").drop("pick")
+    dealt = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
+
+    found, place = None, members.join(weight.where("parts = 1"), "family").select("id", "mark", "family", F.lit(0).alias("part"), F.lit(1).alias("outer"), F.lit(1).alias("parts"))
+    large = weight.where("parts > 1")
+    if not large.isEmpty():
+        own = scratch.cut(members.join(large, "family"))
+        hubs = own.groupBy("family", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(HUBS)).alias("h")).agg(F.min(F.struct(F.xxhash64("id"), "id", "mark")).alias("hub"), F.first("parts").alias("parts"))
+        hubs = scratch.cut(hubs.select("family", "hub.id", "hub.mark", "parts"))
+        rows = picked.join(own.select("id", "mark", "family", dealt(F.col("parts")).alias("part")), ["id", "mark"])
+        found = scratch.cut(hub_links(rows, picked.join(hubs, ["id", "mark"]), k, percent))
+        clusters = components(found, scratch)
+        own = scratch.cut(own.join(clusters, own["id"] == clusters["node"], "left").select("id", "mark", "n_shingles", "family", F.coalesce("root", "id").alias("cluster")))
+        main = own.groupBy("family", "cluster").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
+        own = own.join(F.broadcast(main) if main.limit(10_001).count() <= 10_000 else main, "family").withColumn("inside", F.col("cluster") == F.col("main"))
+        blocks_of = lambda inside: F.greatest(F.ceil(F.coalesce(F.sum(F.when(inside, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES), F.ceil(F.count_if(inside) / BLOCK_MEMBERS)).cast("int")
+        deal = own.groupBy("family").agg(blocks_of(~F.col("inside")).alias("outer"), blocks_of(F.col("inside")).alias("inner")).where("outer > 0")
+        own = own.join(deal, "family")
+        part = F.when(F.col("inside"), F.col("outer") + dealt(F.col("inner"))).otherwise(dealt(F.col("outer")))
+        place = place.unionByName(own.select("id", "mark", "family", part.alias("part"), "outer", (F.col("outer") + F.col("inner")).alias("parts")))
+
+    # the blocks 0 to outer - 1 meet all blocks, the others only those
+    rows = picked.join(place, ["id", "mark"])
+    other = F.explode(F.expr("sequence(0, if(part < outer, parts, outer) - 1)")).alias("other")
+    rows = rows.select("family", "id", "mark", "text", "part", other)
+    rows = rows.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "mark", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
+        group = group.drop_duplicates(["id", "mark"])
         shingles = Shingles(k)
         links = linked_stars(group["id"].tolist(), [shingles(t) for t in group["text"]], group["part"].to_numpy(), percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return scratch.cut(rows.groupBy("family", "i", "j").applyInPandas(run, "a long, b long"))
+    links = rows.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
+    return scratch.cut(links if found is None else links.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,13 +299,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     roots = components(links, scratch).withColumnRenamed("node", "rep")
     every = signed.select("id", "mark", "n_shingles", "print").join(classes, "print", "left").join(roots, "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
-    return every.select("id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return scratch.finish(every.select("id", "mark", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, one document of each component; of repeated rows one stays."""
-    spark = docs.sparkSession
-    found = Scratch(spark, "kept").cut(near_duplicates(docs, k, percent, id_col, text_col).select("id", "mark", "kept"))
+    found = near_duplicates(docs, k, percent, id_col, text_col).select("id", "mark", "kept")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"))
     # rows that go, or that repeat, share one of PICKS hash values with few others: only those are shuffled
     pick = F.pmod("mark", F.lit(PICKS)).alias("pick")
