@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -296,16 +297,44 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, k, percent):
     assert near_dup.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+def test_a_large_family_costs_its_size(spark, monkeypatch):
+    """Near copies of one text in many blocks: all but the outliers are linked by the hubs, and only outliers meet the blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 100)
+    r = random.Random(12)
+    base = prose(200, 77).split()
+    rows = []
+    for i in range(2000):
+        t = list(base)
+        for _ in range(1 if i % 40 else 25):
+            t[r.randrange(len(t))] = f"w{i}"
+        rows.append((i + 1, " ".join(t), "a"))
+    rows += [(5001, prose(50, 6), "a"), (5001, rows[5][1] + " end", "a")]  # one id, two texts
+    scratch = Scratch(spark, "t")
+    members = docs(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), F.lit(200).alias("n_shingles"), F.lit(1).alias("family"))
+    texts = docs(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
+    links = near_dup.confirmed_links(members, texts, 3, 85, scratch)
+    got = {x.node: x.root for x in components.components(links, scratch).collect()}
+    sets = shingle_sets(rows[:2000], 3)
+    linked = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    near = [i for i in sets if (i - 1) % 40]
+    assert {i for i in sets if got.get(i, i) == min(near)} >= set(near) and got[5001] == min(near)
+    for i in set(sets) - set(near):
+        assert (got.get(i, i) == min(near)) == any(linked(sets[i], sets[j]) for j in near)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(1000, 1200), r.randrange(1000, 1200)) for _ in range(120)] + [(7, 7), (5, 6), (6, 5)]
-    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
+    edges += [(3000, 3001 + i) for i in range(300)] + [(4999, 4000 + i) for i in range(300)]  # hubs: the least node, and the largest
+    rows = [(a, b, "?") for a, b in [*edges, *edges[:50], (None, 5), (6, None)]]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(rows, "a long, b long, m string"), Scratch(spark, "t")).collect()}
     root = {}
     find = lambda i: i if root.setdefault(i, i) == i else find(root[i])
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
     assert got == {i: find(i) for i in root if find(i) != i}
+    assert components.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
 # 8 chat
@@ -335,25 +364,43 @@ def test_chat_round_trip(spark):
 
 def test_shards(spark):
     rows = [(i, f"unique {i}", "a") for i in range(1500)] + [(10_000 + i, f"copy {i % 90}", "a") for i in range(360)] + [(20_000 + i, "one huge group", "a") for i in range(700)]
-    rows += [(30_000, None, "a"), (30_001, None, "a"), (30_002, "", "a"), (None, "x", "a"), (None, "x", "a")]
-    out = sharding.shard_linked(clashing(docs(spark, rows))).collect()
-    assert len(out) == len(rows)
+    rows += [(25_000 + i, f"most of a shard {i % 3}", "a") for i in range(240)]
+    rows += [(30_000, None, "a"), (30_001, None, "a"), (30_002, "", "a"), (None, "x", "a"), (None, "x", "a"), (30_003, prose(30_000, 5), "a")]
+    df = docs(spark, rows)
+    out = sharding.shard_linked(clashing(df)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows)
     sizes = {}
     for r in out:
         sizes.setdefault(r.shard, []).append(r.slot)
     assert len(sizes) == 24 and max(map(len, sizes.values())) - min(map(len, sizes.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in sizes.values())
     text = {i: t for i, t, _ in rows if i is not None}
+    assert all((r.size, r.text_crc32) == (len((text[r.doc_id] or "").encode()) + 8, zlib.crc32((text[r.doc_id] or "").encode())) for r in out if r.doc_id is not None)
     where = {}
     for r in out:
-        if r.doc_id is not None and 10_000 <= r.doc_id < 20_000:
+        if r.doc_id is not None and text[r.doc_id]:
             where.setdefault(text[r.doc_id], set()).add(r.shard)
-    assert sum(len(s) == 1 for s in where.values()) >= 0.9 * len(where)
-    huge = [r.shard for r in out if r.doc_id is not None and 20_000 <= r.doc_id < 30_000]
-    assert len(set(huge)) <= 20
+    whole = len(rows) // 24
+    assert all(len(s) == 1 for t, s in where.items() if t != "one huge group") and len(where["one huge group"]) == -(-700 // whole)
+    ids = df.where("doc_id is not null")
+    report = sharding.cut_report(ids, sharding.shard_linked(ids)).first()
+    assert (report.groups, report.cut_groups) == (94, 1) and report.cut_rows == 700 - len(ids.collect()) // 24
     assert all((r.size, r.text_crc32) == (8, 0) for r in out if r.doc_id in (30_000, 30_001, 30_002))
-    assert sharding.shard_linked(docs(spark, rows).limit(0)).count() == 0
-    assert sorted(map(str, sharding.shard_linked(docs(spark, rows)).collect())) == sorted(map(str, sharding.shard_linked(docs(spark, rows)).collect()))
+    assert sharding.shard_linked(df.limit(0)).count() == 0
+    assert sorted(map(str, sharding.shard_linked(df).collect())) == sorted(map(str, sharding.shard_linked(df).collect()))
+
+
+def test_shards_without_room(spark):
+    """A group that fits one shard stays whole; with groups alone, at most one is cut at each boundary and none is lost."""
+    seven = [(i, f"unique {i}", "a") for i in range(233)] + [(500 + i, "seven", "a") for i in range(7)]
+    out = {r.doc_id: r.shard for r in sharding.shard_linked(docs(spark, seven)).collect()}
+    assert len(out) == 240 and len({out[500 + i] for i in range(7)}) == 1
+    groups = [(i, f"group {i // 6}", "a") for i in range(480)]
+    out = {r.doc_id: r.shard for r in sharding.shard_linked(docs(spark, groups), n_shards=5).collect()}
+    cut = sum(len({out[6 * g + k] for k in range(6)}) > 1 for g in range(80))
+    assert sorted(Counter(out.values()).values()) == [96] * 5 and cut <= 4
+    few = {r.doc_id: r.shard for r in sharding.shard_linked(docs(spark, [(1, "x", "a"), (2, "x", "a"), (3, None, "a")])).collect()}
+    assert len(set(few.values())) == 3
 
 
 # 10 mixing
