@@ -1,97 +1,126 @@
 """Operator 6: license scans by diagonal voting. DataFrame functions only.
 
-Texts become words; the hash of every rolling pair of words is joined with the pairs of all templates. A hit
-votes for the diagonal (place in the text minus place in the template). A base phrase stands where its
-diagonal has all of its votes. For the method's own templates, neighbouring diagonals (words put in or left
-out shift them) are merged, and a merged span is kept if the distinct template places it covers reach
-MIN_COVER and it isn't much longer than the template.
-
-Scale: one pass over the texts; a word pair leaves the scan only if some template has it, with the two words
-compared as such, so what is shuffled is hits and one slim row a document. The template pairs are broadcast
-only up to BROADCAST_PAIRS of them. Votes are pre-aggregated before they are shuffled.
-
-Defined cases: null and empty texts have no words; repeated rows come out as often as they came in; without
-any label the label strings are empty and the first and last word null; other columns are not read.
+Texts become words; the hash of every rolling k-gram of words is joined with the k-grams of all templates (LONG_K
+words for templates of LONG_WORDS or more, SHORT_K for others; both are parameters, as the templates are). A hit
+votes for its diagonal (place in the text minus place in the template), and votes are counted by diagonal. A base
+phrase stands where its diagonal has all of its votes. For the method's own templates, diagonals of MIN_VOTES or
+more that follow each other within a DRIFT of the template's words are merged, as words put in or left out shift
+them; a stray hit votes for a diagonal of its own and breaks nothing. A merged span is kept if the template words
+that its hits cover reach MIN_COVER and it isn't longer in the text than two templates; where it fails, each of its
+diagonals is verified by itself.
+
+Scale: one pass over the texts; a k-gram leaves the scan only if some template has it, with its words compared as
+such, so what is shuffled is hits and one slim row a document. The templates' k-grams are broadcast only up to
+BROADCAST_GRAMS of them. Votes are pre-aggregated before they are shuffled; a document's hits are never gathered
+in one place but in sorts by (document, template).
+
+Defined cases: null and empty texts have no words; repeated rows come out as often as they came in; null ids stay;
+very long texts are read whole; without any label the label strings are empty and the first and last word null; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, lower_ascii, table
+from .common import ASCII_UPPER, Scratch, lower_ascii, table
+from .license_texts import WORDINGS
 
 #: What parts the words of a lower-cased text: all ASCII but digits and a-z. Splitting there takes a twentieth
 #: of the time that Spark's regexp_extract_all takes to find the words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Up to so many template pairs the join is a broadcast (some 10 MB); beyond it both sides are shuffled.
-BROADCAST_PAIRS = 100_000
+#: Up to so many template k-grams the join is a broadcast (some 10 MB); beyond it both sides are shuffled.
+BROADCAST_GRAMS = 100_000
+SHORT_K, LONG_K, LONG_WORDS = 2, 5, 12
 MIN_COVER = 0.7
-#: Neighbouring diagonals at most so far apart are one span.
-DRIFT = 2
+#: Diagonals with fewer votes are strays, unless the template has fewer k-grams than four times that.
+MIN_VOTES = 2
+#: Diagonals that follow each other are one span if they are apart by this part of the template's words, or by 2.
+DRIFT = 8
 
+# The base phrases and their labels.
 BASE = [("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license")]
-#: The method's own: longer wordings that may be altered, and further licenses.
-TEMPLATES = [
-    ("gpl", "licensed under the gnu general public license"),
-    ("apache", "licensed under the apache license version"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc"),
-    ("lgpl", "gnu lesser general public license"),
-    ("mpl", "mozilla public license"),
-]
-
-
-def template_pairs(spark: SparkSession, base: list[tuple[str, str]], own: list[tuple[str, str]]) -> DataFrame:
-    """A row per word pair of each template: template, base, label, n_pairs, place, w1, w2."""
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in re.split(GAP, text.translate(str.maketrans(ASCII_UPPER, ASCII_UPPER.lower()))) if w]
+
+
+def gram_rows(base: list[tuple[str, str]], own: list[tuple[str, str]], short_k: int = SHORT_K, long_k: int = LONG_K) -> list[tuple]:
+    """A row per k-gram of each template: template, base, label, words, k, place, gram."""
     rows = []
     for i, (is_base, (label, phrase)) in enumerate([(True, x) for x in base] + [(False, x) for x in own]):
-        w = phrase.split(" ")
-        if len(w) < 2:
-            raise ValueError(f"a template needs two words: {phrase!r}")
-        rows += [(i, is_base, label, len(w) - 1, k, w[k], w[k + 1]) for k in range(len(w) - 1)]
-    return spark.createDataFrame(rows, "template int, base boolean, label string, n_pairs int, place int, w1 string, w2 string")
+        w = words_of(phrase)
+        k = long_k if not is_base and len(w) >= max(LONG_WORDS, long_k) else short_k
+        if len(w) < k:
+            raise ValueError(f"a template needs {k} words: {phrase!r}")
+        rows += [(i, is_base, label, len(w), k, p, " ".join(w[p : p + k])) for p in range(len(w) - k + 1)]
+    return rows
+
+
+GRAMS = "template int, base boolean, label string, words int, k int, place int, gram string"
+
+
+def template_grams(spark: SparkSession, base: list[tuple[str, str]], own: list[tuple[str, str]], short_k: int = SHORT_K, long_k: int = LONG_K) -> DataFrame:
+    return spark.createDataFrame(gram_rows(base, own, short_k, long_k), GRAMS)
 
 
-def scan(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text", ks: tuple[int, ...] = (SHORT_K, LONG_K)) -> tuple[DataFrame, DataFrame]:
     """(documents, spans). documents: a slim row each with id, mark (of the text), n_words, copies.
-    spans: id, mark, template, base, label, first_word, last_word, cover; a base span is one place."""
-    spark = docs.sparkSession
-    # each document also emits one row at its end (w1 null), which gives its number of words
-    end = spark.createDataFrame([(-1, False, None, 0, 0, None, None)], pairs.schema)
-    pairs = pairs.unionByName(end).withColumn("h", F.when(F.col("w1").isNull(), F.lit(0)).otherwise(F.xxhash64("w1", "w2")))
-    if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
-        pairs = F.broadcast(pairs)
+    spans: id, mark, template, base, label, first_word, last_word, cover; a base span is one place. ks: all k in `grams`."""
+    scratch = Scratch(docs.sparkSession, "licenses")
+    # each document also emits one row at its end (k 0), which gives its number of words
+    end = docs.sparkSession.createDataFrame([(-1, False, None, 0, 0, 0, "")], GRAMS)
+    hashed = F.lit(0).cast("long")
+    for k in ks:
+        hashed = F.when(F.col("k") == k, F.xxhash64(F.lit(k), *[F.get(F.split("gram", " "), F.lit(j)) for j in range(k)])).otherwise(hashed)
+    grams = grams.unionByName(end).withColumn("h", hashed)
+    if grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        grams = F.broadcast(grams)
     words = F.array_remove(F.split(lower_ascii(F.coalesce("text", F.lit(""))), GAP), "")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("mark"), F.concat(words, F.array(F.lit(None).cast("string"))).alias("words"))
-    rows = rows.select("id", "mark", "words", F.posexplode_outer("words").alias("pos", "w"))  # outer: else a filter is inferred that splits the text again
-    after = F.get("words", F.col("pos") + 1)
-    rows = rows.withColumn("h", F.when(F.col("w").isNull(), F.lit(0)).when(after.isNull(), F.lit(-1)).otherwise(F.xxhash64(F.col("w"), after)))
-    hits = rows.join(pairs, "h").where((F.col("template") < 0) | ((F.col("w1") == F.col("w")) & (F.col("w2") == after)))
-    hits = Scratch(spark, "licenses").cut(hits.select("id", "mark", "pos", "template", "base", "label", "n_pairs", "place"))
+    rows = rows.select("id", F.xxhash64("text").alias("mark"), F.concat(words, F.array(F.lit(None).cast("string"))).alias("ws"))
+    rows = rows.select("id", "mark", "ws", F.posexplode_outer("ws").alias("pos", "w"))  # outer: else a filter is inferred that splits the text again
+    at = lambda j: F.get("ws", F.col("pos") + j) if j else F.col("w")
+    own = [F.when(F.col("w").isNull(), F.lit(0) if k == ks[0] else F.lit(None)).when(at(k - 1).isNotNull(), F.xxhash64(F.lit(k), *[at(j) for j in range(k)])) for k in ks]
+    rows = rows.select("id", "mark", "ws", "pos", F.explode(F.array(*own)).alias("h"))
+    hits = rows.join(grams, "h").where((F.col("template") < 0) | (F.array_join(F.slice("ws", F.col("pos") + 1, F.greatest(F.col("k"), F.lit(1))), " ") == F.col("gram")))
+    hits = scratch.cut(hits.select("id", "mark", "pos", "template", "base", "label", "words", "k", "place"))
 
     every = hits.where("template < 0").groupBy("id", "mark", F.col("pos").cast("long").alias("n_words")).agg(F.count("*").alias("copies"))
-    votes = hits.where("template >= 0").distinct()  # rows that repeat vote once
-    key = ["id", "mark", "template", "base", "label", "n_pairs"]
-    exact = votes.where("base").groupBy(*key, (F.col("pos") - F.col("place")).alias("at")).agg(F.count("*").alias("n")).where("n = n_pairs")
-    exact = exact.select(*key, F.col("at").cast("long").alias("first_word"), (F.col("at") + F.col("n_pairs")).cast("long").alias("last_word"), F.lit(1.0).alias("cover"))
-    # merged by place in the text as well: far apart in the text is another span even on the same diagonal
-    line = Window.partitionBy("id", "mark", "template").orderBy("pos", "place")
-    own = votes.where("not base").withColumn("diagonal", F.col("pos") - F.col("place"))
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(line)) > DRIFT) | (F.col("pos") - F.lag("pos").over(line) > F.col("n_pairs"))
-    own = own.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    own = own.groupBy(*key, "span").agg(F.count_distinct("place").alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"))
-    own = own.withColumn("cover", F.col("n") / F.col("n_pairs")).where((F.col("cover") >= MIN_COVER) & (F.col("b") - F.col("a") + 2 <= 2 * (F.col("n_pairs") + 1)))
-    own = own.select(*key, F.col("a").cast("long").alias("first_word"), (F.col("b") + 1).cast("long").alias("last_word"), "cover")
-    return every, exact.unionByName(own).drop("n_pairs")
+    votes = hits.where("template >= 0").distinct().withColumn("diagonal", F.col("pos") - F.col("place"))  # rows that repeat vote once
+    key = ["id", "mark", "template", "base", "label"]
+    lines = votes.groupBy(*key, "words", "k", "diagonal").agg(F.count("*").alias("n"))
+    exact = lines.where(F.col("base") & (F.col("n") == F.col("words") - F.col("k") + 1))
+    exact = exact.select(*key, F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("words") - 1).cast("long").alias("last_word"), F.lit(1.0).alias("cover"))
+
+    lines = lines.where(~F.col("base") & ((F.col("n") >= MIN_VOTES) | (F.col("words") - F.col("k") + 1 < 4 * MIN_VOTES)))
+    line = Window.partitionBy("id", "mark", "template").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(line) > F.greatest(F.lit(2), F.floor(F.col("words") / DRIFT))
+    lines = lines.withColumn("span", F.sum(F.when(apart, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    mine = [F.col(c).eqNullSafe(F.col("line_" + c)) for c in ("id", "mark", "template", "diagonal")]
+    lines = lines.select(*[F.col(c).alias("line_" + c) for c in ("id", "mark", "template", "diagonal")], "span")
+    own = scratch.cut(votes.where("not base").join(lines, mine[0] & mine[1] & mine[2] & mine[3]).select(*key, "words", "k", "pos", "place", "diagonal", "span"))
+
+    def verified(by: str, rows: DataFrame) -> DataFrame:
+        covered = rows.select(*key, "words", by, "pos", "k", F.explode(F.expr("sequence(place, place + k - 1)")).alias("word"))
+        out = covered.groupBy(*key, "words", by).agg(F.count_distinct("word").alias("n"), F.min("pos").alias("a"), F.max(F.col("pos") + F.col("k")).alias("b"))
+        return out.withColumn("ok", (F.col("n") >= MIN_COVER * F.col("words")) & (F.col("b") - F.col("a") <= 2 * F.col("words")))
+
+    spans = scratch.cut(verified("span", own))
+    failed = spans.where("not ok").select(*[F.col(c).alias("line_" + c) for c in ("id", "mark", "template")], F.col("span").alias("failed"))
+    alone = own.join(failed, mine[0] & mine[1] & mine[2] & (F.col("span") == F.col("failed")), "left_semi")
+    found = spans.where("ok").drop("span").unionByName(verified("diagonal", alone).where("ok").drop("diagonal"))
+    found = found.select(*key, F.col("a").cast("long").alias("first_word"), (F.col("b") - 1).cast("long").alias("last_word"), (F.col("n") / F.col("words")).alias("cover"))
+    return every, exact.unionByName(found)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, spans = scan(table(spark, sf_dir, "documents"), template_pairs(spark, BASE, TEMPLATES))
+    docs, spans = scan(table(spark, sf_dir, "documents"), template_grams(spark, BASE, WORDINGS))
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")  # noqa: E731  at most one entry per label
     on_base = lambda c: F.when(F.col("base"), F.col(c))
     found = spans.groupBy("id", "mark").agg(F.count(on_base("label")).alias("n_base"), F.min(on_base("first_word")).alias("first_word"), F.max(on_base("first_word")).alias("last_word"), joined(on_base("label")).alias("base_labels"), joined("label").alias("labels"), F.max("cover").alias("score"))
@@ -104,20 +133,23 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Places by unnesting words; the method's spans follow the same rules in window functions.
 OP6_SQL = (
     r"""
-with pairs(template, base, label, n_pairs, place, w1, w2) as (values """
-    + ", ".join(f"({i}, {str(is_base).lower()}, '{label}', {len(p.split()) - 1}, {k}, '{p.split()[k]}', '{p.split()[k + 1]}')" for i, (is_base, (label, p)) in enumerate([(True, x) for x in BASE] + [(False, x) for x in TEMPLATES]) for k in range(len(p.split()) - 1))
+with grams(template, base, label, words, k, place, gram) as (values """
+    + ", ".join(f"({i}, {str(b).lower()}, '{label}', {n}, {k}, {p}, '{g}')" for i, b, label, n, k, p, g in gram_rows(BASE, WORDINGS))
     + rf"""),
-docs as (select row_number() over () as n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
-w as (select n, unnest(words) as w1, unnest(list_concat(words[2:], [null])) as w2, unnest(range(len(words))) as pos from docs),
-votes as (select n, pos, p.* from w join pairs p on w.w1 = p.w1 and w.w2 = p.w2),
-exact as (select n, label, pos - place as first_word, 1.0::double as cover from votes where base group by n, template, label, n_pairs, pos - place having count(*) = n_pairs),
-o1 as (select *, abs(pos - place - lag(pos - place) over v) > {DRIFT} or pos - lag(pos) over v > n_pairs as apart from votes where not base window v as (partition by n, template order by pos, place)),
-o2 as (select *, sum(case when apart then 1 else 0 end) over (partition by n, template order by pos, place rows unbounded preceding) as span from o1),
-own as (select n, label, count(distinct place)::double / n_pairs as cover from o2 group by n, template, label, n_pairs, span
-  having count(distinct place)::double / n_pairs >= {MIN_COVER} and max(pos) - min(pos) + 2 <= 2 * (n_pairs + 1)),
+docs as (select row_number() over () as n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+u as (select n, unnest(ws) as w, unnest(range(len(ws))) as pos from docs),
+s as (select n, pos, w || ' ' || lead(w) over v as two, w || ' ' || lead(w) over v || ' ' || lead(w, 2) over v || ' ' || lead(w, 3) over v || ' ' || lead(w, 4) over v as five from u window v as (partition by n order by pos)),
+votes as (select s.n, s.pos, g.*, s.pos - g.place as diagonal from s join grams g on g.k = {SHORT_K} and s.two = g.gram union all select s.n, s.pos, g.*, s.pos - g.place from s join grams g on g.k = {LONG_K} and s.five = g.gram),
+line as (select n, template, base, label, words, k, diagonal, count(*) as votes from votes group by all),
+exact as (select n, label, diagonal as first_word, 1.0::double as cover from line where base and votes = words - k + 1),
+o1 as (select *, diagonal - lag(diagonal) over v > greatest(2, words // {DRIFT}) as apart from line where not base and (votes >= {MIN_VOTES} or words - k + 1 < {4 * MIN_VOTES}) window v as (partition by n, template order by diagonal)),
+o2 as (select *, sum(case when apart then 1 else 0 end) over (partition by n, template order by diagonal rows unbounded preceding) as span from o1),
+own as (select v.n, v.template, v.label, v.words, v.k, v.pos, v.diagonal, o.span, unnest(range(v.place, v.place + v.k)) as word from votes v join o2 o on v.n = o.n and v.template = o.template and v.diagonal = o.diagonal),
+m as (select n, template, label, span, count(distinct word) / words as cover, count(distinct word) >= {MIN_COVER} * words and max(pos + k) - min(pos) <= 2 * words as ok from own group by n, template, label, words, span),
+a1 as (select o.n, o.label, count(distinct word) / words as cover from own o join m using (n, template, span) where not m.ok group by o.n, o.template, o.label, o.words, o.diagonal having count(distinct word) >= {MIN_COVER} * words and max(pos + k) - min(pos) <= 2 * words),
 e as (select n, count(*) as n_base, min(first_word) as first_word, max(first_word) as last_word, string_agg(distinct label, ',' order by label) as base_labels from exact group by n),
-a as (select n, string_agg(distinct label, ',' order by label) as labels, max(cover) as score from (select n, label, cover from exact union all select n, label, cover from own) group by n)
-select d.doc_id, len(d.words)::bigint as n_words, coalesce(e.n_base, 0)::bigint as n_base, e.first_word::bigint as first_word, e.last_word::bigint as last_word,
+a as (select n, string_agg(distinct label, ',' order by label) as labels, max(cover) as score from (select n, label, cover from exact union all select n, label, cover from m where ok union all select * from a1) group by n)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(e.n_base, 0)::bigint as n_base, e.first_word::bigint as first_word, e.last_word::bigint as last_word,
   coalesce(e.base_labels, '') as base_labels, coalesce(a.labels, '') as labels, coalesce(a.score, 0.0)::double as score
 from docs d left join e using (n) left join a using (n)
 """
