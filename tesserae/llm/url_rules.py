@@ -7,13 +7,14 @@ apart. A url becomes one point for each of its host's suffixes that has rules. R
 points are sorted together; a start puts its rule on top of the stack, an end gives back the enclosing
 rule, and a point reads the top, that is its innermost rule.
 
-Scale: urls are reduced to distinct (id, host, path) first; hosts without rules drop out in the join with
-the rules' hosts; the sweep of a host that many urls share is dealt into slices, each with a copy of that
-host's rule events, so a slice's cost is its points and the host's rules. Rules are broadcast only up to
-BROADCAST_RULES of them.
+Scale: urls are reduced to distinct (id, host, path) first; a host has as many suffixes looked up as the rules'
+longest host has labels, however many it has itself; hosts without rules drop out in the join with the rules'
+hosts; the sweep of a host that many urls share is dealt into slices, each with a copy of that host's rule
+events, so a slice's cost is its points and the host's rules. Rules are broadcast only up to BROADCAST_RULES.
 
 Defined cases: a null url or one without `://` has empty host and path; repeated rows come out as often as
-they came in; other columns (of any name) are not read; of two rules alike but for the verdict, block holds;
+they came in; very long urls and hosts of very many labels are read whole; null ids stay; an empty table of urls
+or of rules works; other columns (of any name) are not read; of two rules alike but for the verdict, block holds;
 among rules of equal length that of the longer host wins; no rule: `default` and a null rule.
 """
 
@@ -27,8 +28,8 @@ from .common import lower_ascii, table
 
 #: Up to so many rules (a few MB) the table of their hosts is broadcast; beyond it the join shuffles.
 BROADCAST_RULES = 20_000
-#: Points of one host that one sweep holds on average.
-SWEEP_POINTS = 50_000
+#: Points of one host that one sweep holds on average; more where the host has more rules than that in events.
+SWEEP_POINTS = 2_000
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -49,7 +50,7 @@ def url_parts(url):
 
 
 def match_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """Rows of (id, host, path, rule, verdict, n_rules_tried): the longest rule that covers each url."""
+    """Rows of (id, host, path, rule, verdict): the longest rule that covers each url."""
     host, path = url_parts(F.col("url"))
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     urls = urls.select("id", host.alias("host"), path.alias("path"))
@@ -65,11 +66,14 @@ def match_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     nested = rules.join(parents, ["host", "path"], "left")
 
     # points: one for each host suffix; only those whose host has rules go to the sweep
-    suffixes = F.transform(F.sequence(F.lit(0), F.size(F.split("host", r"\.")) - 1), lambda i: F.concat_ws(".", F.slice(F.split(F.col("host"), r"\."), i + 1, 100000)))
-    points = urls.select("id", "host", "path", "copies", F.explode(suffixes).alias("at"))
-    counts = rules.groupBy("host").count().select(F.col("host").alias("at"))
-    points = points.join(F.broadcast(counts) if few else counts, "at", "left_semi")
-    sizes = points.groupBy("at").agg(F.ceil(F.count("*") / SWEEP_POINTS).cast("long").alias("slices"))
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()[0] or 0
+    labels = urls.withColumn("labels", F.split("host", r"\."))
+    suffixes = F.transform(F.expr(f"sequence(1, least(size(labels), {max(1, deepest)}))"), lambda i: F.concat_ws(".", F.slice("labels", -i, i)))
+    points = labels.select("id", "host", "path", "copies", F.explode(suffixes).alias("at"))
+    counts = rules.groupBy("host").agg(F.count("*").alias("rules")).withColumnRenamed("host", "at")
+    points = points.join(F.broadcast(counts) if few else counts, "at")
+    sizes = points.groupBy("at", "rules").agg(F.count("*").alias("n")).select("at", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP_POINTS), 8 * F.col("rules"))).cast("long").alias("slices"))
+    points = points.drop("rules")
     point_slices = points.join(F.broadcast(sizes) if few else sizes, "at").withColumn("slice", F.pmod(F.xxhash64("id", "host", "path"), F.col("slices")))
 
     top = F.struct(F.length("path").alias("len"), "rule", "verdict")
@@ -83,7 +87,7 @@ def match_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     hits = swept.where("kind = 1 and top.len >= 0").select("point.*", F.struct((F.length("at") + F.col("top.len")).alias("len"), F.length("at").alias("host_len"), F.col("top.rule").alias("rule"), F.col("top.verdict").alias("verdict")).alias("hit"))
 
     every = urls.select("*", F.lit(None).cast(hits.schema["hit"].dataType).alias("hit")).unionByName(hits)
-    best = every.groupBy("id", "host", "path").agg(F.max("hit").alias("hit"), F.first("copies").alias("copies"), (F.count("*") - 1).alias("n_rules_hosts"))
+    best = every.groupBy("id", "host", "path").agg(F.max("hit").alias("hit"), F.first("copies").alias("copies"))
     best = best.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     return best.select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
