@@ -6,7 +6,8 @@ linear in the average, each bucket's vector is first multiplied into the output
 BUCKETS numbers to send to the executors, however large the corpus.
 
 Training reads at most SAMPLE labelled rows (the lowest hashes of doc_id among those not held out, texts of at
-most SAMPLE_BYTES), whole; this bound is a parameter. Everything else covers all rows.
+most SAMPLE_BYTES), whole, until they add up to TOTAL_BYTES; these bounds are parameters. Of several texts under
+one doc_id the least is taken. Everything else covers all rows.
 
 Defined cases: null and empty texts have no features and get the score of the bias alone; very long texts are
 hashed whole, piece by piece; repeated rows score alike; without labelled rows (or with one label only)
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -34,6 +36,7 @@ EPOCHS = 12
 RATE = 0.6
 SAMPLE = 3000
 SAMPLE_BYTES = 200_000
+TOTAL_BYTES = 100_000_000
 SEED = 7
 #: An odd factor for polynomial hashes modulo 2**64, and its inverse.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -187,13 +190,16 @@ def _calibrated(model: Model, margins: np.ndarray, y: np.ndarray) -> tuple[np.nd
     return model.output * scale, np.array([0.0, diff * scale + shift])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
     """(text, label) of the sample; doc_id chooses rows only."""
     own = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    own = own.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
-    return rows.join(F.broadcast(own), "doc_id").select("text", "label").limit(2 * sample)  # repeated doc_ids can't grow the sample without end
+    rows = docs.select("doc_id", "text", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= sample_bytes)
+    rows = rows.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min(F.struct("bytes", "text")).alias("least"), F.min("label").alias("label"))
+    # at most `sample` rows: their running sum in the order of the hashes
+    so_far = F.sum("least.bytes").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= total_bytes).select("least.text", "label")
 
 
 def held_out(doc_id) -> F.Column:
@@ -236,7 +242,7 @@ def _score(u: np.ndarray, bias: float, hasher: Hasher, text: str | None) -> floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    rows = sorted(training_rows(docs, labels, label, sample).collect())  # at most 2 * sample rows; sorted, so reruns agree
+    rows = sorted(training_rows(docs, labels, label, sample).collect())  # at most `sample` rows and TOTAL_BYTES; sorted, so reruns agree
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
