@@ -10,7 +10,8 @@ Scale: rows are dealt by conversation and sorted within the partition; the forma
 holds one batch and the machine's state, never a whole conversation, so a huge one needs no more memory.
 The digest is a stream of its own over the emitted segments. It reads only those.
 
-Defined cases: a null text or role is empty; rows of one turn number follow by role, then text; a null conv_id
+Defined cases: a null text or role is empty; a null turn comes first; rows of one turn number follow by role,
+then text; empty and very long texts and conversations of very many turns are formatted whole; a null conv_id
 is a conversation; repeated rows are turns of their own; an empty table gives no rows; other columns are ignored.
 """
 
@@ -142,12 +143,12 @@ def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-s as (select *, lag(role) over w as before, row_number() over w as n, lead(role) over w is null as is_last from c window w as (partition by conv_id order by turn, role, text)),
+s as (select *, lag(role) over w as before, row_number() over w as n, lead(role) over w is null as is_last from c window w as (partition by conv_id order by turn nulls first, role, text)),
 v as (select conv_id, bool_and(case when n = 1 then role in ('system', 'user') when role = 'user' then before in ('assistant', 'system') and (before = 'assistant' or n = 2)
    when role = 'assistant' then before = 'user' else false end) and max(case when is_last then role end) = 'assistant' as valid from s group by conv_id)
-select c.conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+select c.conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(4 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + 2 + length(regexp_replace(text, '([\\#<:])', '\\\1', 'g')) + 9)::bigint as formatted_chars,
   any_value(v.valid) as valid
 from c join v on c.conv_id is not distinct from v.conv_id group by c.conv_id

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -66,9 +67,72 @@ def test_pseudonyms(spark):
     for private in ("Jo.Doe7", "555-0187", "10.20.30.40", "078-05-1120", "1984-02-29"):
         assert private not in out[8].text
     assert out[8].kinds == "card:1,date:1,email:1,ipv4:1,phone:1,ssn:1" and out[4].n_found == 0
-    back = pii.pseudonyms(got, "key", inverse=True)
-    assert {r.doc_id: r.text for r in back.collect()}[8] == t.replace("Jo.Doe7@Mail.example.com", re.findall(r"\S+@\S+m", {r.doc_id: r.text for r in back.collect()}[8])[0])
+    back = {r.doc_id: r.text for r in pii.pseudonyms(got, "key", inverse=True).collect()}
+    assert back[8] == t and back[9] == rows[-1][1]
     assert pii.pseudonyms(df.limit(0), "key").count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonyms(df, "")
+
+
+#: Each line is one value in every shape it may be written in.
+SHAPES = [
+    ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+    ["378282246310005", "3782 822463 10005"],
+    ["+442071838750", "+44 20 7183 8750", "+44-20-7183-8750", "+44 (20) 7183 8750", "+44 (0)20 7183 8750", "+44.20.7183.8750"],
+    ["+12125550187", "+1 (212) 555-0187", "(212) 555-0187", "212-555-0187", "212.555.0187", "+1.212.555.0187", "+1 212 555 0187"],
+    ["+4930123456789", "+49 30 123456789"[:16], "+49 30 12345 6789"],
+    ["+35312345678", "+353 1 234 5678"],
+    ["GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19"],
+    ["FR1420041010050500013M02606", "FR14 2004 1010 0505 0001 3M02 606"],
+    ["1990-12-31", "1990/12/31", "12/31/1990", "31/12/1990", "31.12.1990"],
+    ["1990-02-01", "1990/2/1", "1990/02/01", "1/2/1990", "01/02/1990", "1.2.1990", "01.02.1990"],
+    ["2004-02-29", "29/2/2004", "2/29/2004", "02/29/2004", "29.02.2004"],
+    ["2011-11-11", "11/11/2011", "2011/11/11"],
+    ["Jo.Doe7@Mail.example.com", "jo.doe7@mail.example.com", "JO.DOE7@MAIL.EXAMPLE.com"],
+    ["078-05-1120"],
+    ["'" + "aB3-" * 33 + "'"],
+    ["0123456789abcdef" * 8 + "0"],
+]
+
+
+@pytest.mark.parametrize("shapes", SHAPES, ids=lambda x: x[0][:12])
+def test_every_value_in_every_shape(shapes):
+    f = pii.Feistel("k")
+    plain = lambda v: re.sub(r"[^0-9a-z]", "", v.replace("(0)", "").lower())
+
+    def value(v):
+        if (m := re.fullmatch(r"(\d{4})[-/](\d+)[-/](\d+)", v)) or (m := re.fullmatch(r"(\d\d?)[/.](\d\d?)[/.](\d{4})", v)):
+            y, a, b = (int(x) for x in m.groups())
+            y, month, day = (y, a, b) if y > 31 else (b, a, y) if a <= 12 else (b, y, a)
+            return y, month, day
+        return plain(v)[-10:] if shapes[0].startswith("+1") else plain(v)
+
+    new = set()
+    for v in shapes:
+        for text in (v, f"see {v} there", f"({v})" if v[0] != "(" else v, f"{v}\n{shapes[0]}"):
+            if text.count("'") == 2 and text[0] == "(":
+                continue
+            out, found = pii.pseudonymise(text, f)
+            assert sum(found.values()) == 1 + text.count("\n") and len(out) == len(text) and out != text
+            assert re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", out))) == re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", text))) or len(v) > 100
+            assert pii.pseudonymise(out, f, inverse=True) == (text, found)
+            at = text.index(v)
+            new.add(value(out[at : at + len(v)]))
+    assert len(new) == 1 and new != {value(shapes[0])}
+    assert pii.pseudonymise(shapes[0], pii.Feistel("other"))[0] != pii.pseudonymise(shapes[0], f)[0]
+
+
+def test_phones_keep_valid_codes():
+    f = pii.Feistel("k")
+    out, found = pii.pseudonymise("at 10.20.30.40, 10.20.30.40", f)  # octets may differ in width
+    assert found == {"ipv4": 2} and (m := re.fullmatch(r"at ((?:\d+\.){3}\d+), \1", out)) and m[1] != "10.20.30.40" and pii.pseudonymise(out, f, inverse=True)[0] == "at 10.20.30.40, 10.20.30.40"
+    r = random.Random(8)
+    for _ in range(300):
+        n = f"+1 {r.randint(2, 9)}{r.randint(10, 99)} {r.randint(2, 9)}{r.randint(10, 99)} {r.randint(1000, 9999)}"
+        assert re.fullmatch(r"\+1 [2-9]\d\d [2-9]\d\d \d{4}", pii.pseudonymise(n, f)[0])
+        n = f"+{r.choice([44, 49, 33, 353, 971])} {r.randint(1, 9)}{r.randint(10, 99)} {r.randint(100, 999)} {r.randint(1000, 9999)}"
+        out = pii.pseudonymise(n, f)[0]
+        assert out.split(" ")[0] == n.split(" ")[0] and out.split(" ")[1][0] != "0"
 
 
 def test_ibans_with_letters_and_month_first_dates():
@@ -120,7 +184,34 @@ def test_quality(spark):
     none = quality.fit(df, labels.limit(0))
     assert {r.score for r in quality.scored(df, none).collect()} == {0.5}
     assert quality.scored(df.limit(0), model).count() == 0
-    assert np.array_equal(np.concatenate([quality.Hasher()(prose(50, 1))]), quality.Hasher()(prose(50, 1)))
+    u, bias = model.table()
+    for r in out:
+        text = next(x.text for x in odd(spark).collect() if x.doc_id == r.doc_id)
+        ids = plain_buckets(text or "") if len(text or "") < 1000 else []
+        if ids or not text or not text.strip():
+            assert abs(r.score - 1 / (1 + math.exp(-(sum(float(u[i]) for i in ids) / max(1, len(ids)) + bias)))) < 1e-6
+    assert quality.training_rows(df.unionByName(df), labels, sample=50).count() == 50
+    assert quality.training_rows(df, labels, sample=50, total_bytes=2000).agg(F.sum(F.octet_length("text"))).first()[0] <= 2000
+
+
+def plain_buckets(text):
+    """The features one by one, in whole numbers."""
+    full, factor = (1 << 64) - 1, int(quality.FACTOR)
+    data = bytes(32 if c <= 32 else c for c in text.encode())
+
+    def bucket(h, salt):
+        h = (h + salt) * int(quality.MIXER) & full
+        return ((h ^ h >> 32) * int(quality.MIXER) & full) >> 29 & quality.BUCKETS - 1
+
+    hashed = lambda b: sum((c + 1) * pow(factor, i, 1 << 64) for i, c in enumerate(b)) & full
+    words = [hashed(w) for w in data.split(b" ") if w]
+    if not words:
+        return []
+    out = [bucket(w, 1) for w in words] + [bucket(0 if a == b else (a * factor + b) & full, 2) for a, b in itertools.pairwise(words)]
+    padded = b" " + data + b" "
+    for k in quality.NGRAMS:
+        out += [bucket(hashed(padded[i : i + k]), 2 + k) for i in range(len(padded) - k + 1)] if len(padded) > k else []
+    return out
 
 
 # 3 url rules
@@ -130,7 +221,7 @@ def test_url_rules_against_brute_force(spark):
     r = random.Random(2)
     hosts = ["net", "example.net", "a.example.net", "Example.NET", "example.com", "b.org", "org", "xnet", "", "a..net"]
     paths = ["", "/", "/en/", "/en/x", "/en", "/de/y?q", "/fr/#z", "/de/\U0010ffff"]
-    urls = [None, "no scheme", "://", "http://net/"] + [f"http://{r.choice(hosts)}{r.choice(paths)}" for _ in range(300)]
+    urls = [None, "no scheme", "://", "http://net/", "http://" + "a." * 50_000 + "example.net/en/", "http://example.com/de/" + "x" * 200_000] + [f"http://{r.choice(hosts)}{r.choice(paths)}" for _ in range(300)]
     pages = spark.createDataFrame([(i % 250, u, "?") for i, u in enumerate(urls)] + [(1, urls[1], "?")], "page_id long, url string, host string")
     rules = url_rules.RULES + [("allow", "a.example.net/"), ("block", "net/en/"), ("allow", "net/en/"), ("allow", "org/")]
 
@@ -145,6 +236,7 @@ def test_url_rules_against_brute_force(spark):
     key = lambda t: tuple(str(x) for x in t)
     assert sorted((tuple(x) for x in got), key=key) == sorted(want, key=key)
     assert url_rules.match_urls(pages.limit(0), url_rules.rule_table(spark, rules)).count() == 0
+    assert {r.verdict for r in url_rules.match_urls(pages, url_rules.rule_table(spark, rules).limit(0)).collect()} == {"allow"}
 
 
 # 4 decontamination
@@ -167,7 +259,8 @@ def test_decontamination_against_brute_force(spark):
     def changed(t, n):
         t = list(t)
         for _ in range(n):
-            t[r.randrange(len(t))] = r.choice("xyz")
+            at = r.randrange(len(t))
+            t[at : at + r.choice((0, 1, 1))] = r.choice(("x", "y", "", "zz"))  # changed, put in or left out
         return "".join(t)
 
     rows = [(k, prose(20, k) + " " + changed(items[k % 12][1].upper(), k // 3) + ", " + prose(10, k + 1), "a") for k in range(40)]
@@ -228,18 +321,65 @@ def test_nearest(spark):
 # 6 licenses
 
 
+def license_spans(text, rows):
+    """The rules of the scan, step by step."""
+    words, out = licenses.words_of(text), []
+    for i in sorted({r[0] for r in rows}):
+        mine = [r for r in rows if r[0] == i]
+        base, label, m, k = mine[0][1], mine[0][2], mine[0][3], mine[0][4]
+        votes = [(p, r[5]) for p in range(len(words) - k + 1) for r in mine if " ".join(words[p : p + k]) == r[6]]
+        lines = {}
+        for p, q in votes:
+            lines.setdefault(p - q, []).append((p, q))
+        if base:
+            out += [(label, True, d) for d, v in lines.items() if len(v) == m - k + 1]
+            continue
+        least = licenses.MIN_VOTES if m - k + 1 >= 4 * licenses.MIN_VOTES else 1
+        kept, spans = sorted(d for d, v in lines.items() if len(v) >= least), []
+        for d in kept:
+            if spans and d - spans[-1][-1] <= max(2, m // licenses.DRIFT):
+                spans[-1].append(d)
+            else:
+                spans.append([d])
+
+        def fits(ds):
+            v = [x for d in ds for x in lines[d]]
+            return len({q + j for _, q in v for j in range(k)}) >= licenses.MIN_COVER * m and max(p for p, _ in v) + k - min(p for p, _ in v) <= 2 * m
+
+        for ds in spans:
+            for group in [ds] if fits(ds) else [[d] for d in ds if fits([d])]:
+                out.append((label, False, min(p for d in group for p, _ in lines[d])))
+    return sorted(out)
+
+
+BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+
+
 def test_licenses(spark):
     text = "Released under the MIT License. GNU General Public License; gnu general public license mit-license cc by cc by nc"
-    altered = "permission is hereby kindly granted free of charge to any man obtaining a copy of this software and associated documentation files"
-    rows = [(1, text, "a"), (1, text, "a"), (2, altered, "a"), (3, "the mit and license", "a"), (4, None, "a"), (5, "", "a"), (None, "CC-BY", "a"), (6, prose(5000, 1) + " apache license", "a"), (7, "ÉMIT license Kit", "a")]
-    got = licenses.scan(clashing(docs(spark, rows)).drop("row"), licenses.template_pairs(spark, licenses.BASE, licenses.TEMPLATES))
-    every, spans = (x.collect() for x in got)
-    assert sum(r.copies for r in every) == len(rows)
-    base = sorted((r.id, r.label, r.first_word) for r in spans if r.base and r.id == 1)
+    r = random.Random(21)
+    wordings = [w for _, w in licenses.WORDINGS]
+    mangled = []
+    for n in range(60):
+        w = licenses.words_of(r.choice(wordings))
+        for _ in range(r.randint(0, len(w) // 8)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice((0, 1))] = r.choice(([], [r.choice(w)], ["stray", "words"]))
+        mangled.append(prose(r.randint(0, 30), n) + " " + " ".join(w) + (" " + r.choice(wordings)) * (n % 3))
+    rows = [(1, text, "a"), (1, text, "a"), (2, BSD.replace("forms with", "forms are permitted with"), "a"), (3, "the mit and license", "a"), (4, None, "a"), (5, "", "a"), (None, "CC-BY", "a"), (6, prose(30_000, 1) + " apache license", "a"), (7, "ÉMIT license Kit", "a"), (8, BSD, "a"), (9, BSD.replace("use in", "use by you in").replace("permitted", "permitted to all"), "a")]
+    rows += [(100 + i, t, "a") for i, t in enumerate(mangled)]
+    grams = licenses.gram_rows(licenses.BASE, licenses.WORDINGS)
+    every, spans = (x.collect() for x in licenses.scan(clashing(docs(spark, rows)).drop("row"), licenses.template_grams(spark, licenses.BASE, licenses.WORDINGS)))
+    assert sum(x.copies for x in every) == len(rows)
+    base = sorted((x.id, x.label, x.first_word) for x in spans if x.base and x.id == 1)
     assert base == [(1, "cc-by", 15), (1, "cc-by", 17), (1, "gpl", 5), (1, "gpl", 9), (1, "mit", 3), (1, "mit", 13)]
-    assert {r.label for r in spans if r.id == 2} == {"mit"} and not [r for r in spans if r.id in (3, 4, 5, 7)]
-    assert [r.first_word for r in spans if r.id == 6] == [5000] and [r.label for r in spans if r.id is None] == ["cc-by"]
-    assert licenses.scan(docs(spark, rows).limit(0), licenses.template_pairs(spark, licenses.BASE, []))[0].count() == 0
+    for i, t, _ in rows:
+        assert sorted((x.label, x.base, x.first_word) for x in spans if x.id == i) == license_spans(t or "", grams), i
+        assert {x.n_words for x in every if x.id == i} == {len(licenses.words_of(t or ""))}
+    assert all("bsd" in {x.label for x in spans if x.id == i} for i in (2, 8, 9)) and sum(not x.base and x.id is not None and x.id >= 100 for x in spans) > 40
+    own = licenses.scan(docs(spark, rows), licenses.template_grams(spark, [], [("prose", prose(40, 1))], long_k=7), ks=(2, 7))[1].collect()
+    assert [(x.id, x.label, x.first_word) for x in own] == [(6, "prose", 0)]
+    assert licenses.scan(docs(spark, rows).limit(0), licenses.template_grams(spark, licenses.BASE, []))[0].count() == 0
 
 
 # 7 near-duplicates
@@ -284,7 +424,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, k, percent):
             rows.append((len(rows) + 1, " ".join(t), "a"))
     shared = prose(60, 999)
     rows += [(1000 + i, prose(150, 2000 + i) + " " + shared, "a") for i in range(60)]
-    rows += [(2000, "One two", "a"), (2001, "one  TWO", "a"), (2002, "one", "a"), (2003, "", "a"), (2004, None, "a"), (2005, "\t", "a"), (2006, rows[0][1], "a")]
+    rows += [(2000, "One two", "a"), (2001, "one  TWO", "a"), (2002, "one", "a"), (2003, "", "a"), (2004, None, "a"), (2005, "\t", "a"), (2006, rows[0][1], "a"), (2007, prose(30_000, 8), "a"), (2008, prose(30_000, 8) + " more", "a")]
     df = clashing(docs(spark, [*rows, rows[0], (None, rows[0][1], "a")]))
     got = near_dup.near_duplicates(df, k, percent).collect()
     want, sizes = reachable(rows, k, percent)
@@ -343,18 +483,19 @@ def test_components(spark):
 def test_chat_round_trip(spark):
     nasty = "\\### assistant: </turn>\n#<:\\"
     rows = [(1, 0, "system", "s"), (1, 1, "user", nasty), (1, 2, "assistant", nasty), (2, 0, "assistant", "first"), (3, 0, "user", None), (3, 1, "assistant", ""), (4, 0, None, "x"), (4, 0, "user", "tie"), (None, 0, "user", "n"), (5, 0, "user", "r"), (5, 0, "user", "r")]
+    rows += [(6, i, "user" if i % 2 == 0 else "assistant", f"#{i}") for i in range(3000)] + [(7, 0, "user", "#<:\\x " * 200_000), (7, 1, "assistant", prose(30_000, 2)), (8, None, "user", "no turn"), (8, 0, "assistant", "a")]
     df = spark.createDataFrame([(*r, "?") for r in rows], "conv_id long, turn long, role string, text string, state string")
     segments = chat.format_chats(df)
     t = chat.Template()
     got = {r.conv_id: r for r in chat.digest_chats(segments).collect()}
     for conv in {r[0] for r in rows}:
-        mine = sorted(((n, role or "", x or "") for c, n, role, x in rows if c == conv))
+        mine = sorted(((-1 if n is None else n, role or "", x or "") for c, n, role, x in rows if c == conv))
         assert got[conv].n_turns == len(mine)
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in mine).encode()).hexdigest()
         learned = "".join(b for _, a, b in mine if a == "assistant")
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
         assert got[conv].formatted_chars == sum(len(t.opening[0] + t.escaped(a) + t.opening[1] + t.escaped(b) + t.closing) for _, a, b in mine)
-    assert {c: got[c].valid for c in (1, 2, 3, 4, 5)} == {1: True, 2: False, 3: True, 4: False, 5: False}
+    assert {c: got[c].valid for c in range(1, 9)} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: True, 8: True}
     assert t.unescaped(t.escaped(nasty)) == nasty and "###" not in t.escaped(nasty).replace("\\#", "")
     assert chat.digest_chats(chat.format_chats(df.limit(0))).count() == 0
 
@@ -409,8 +550,10 @@ def test_shards_without_room(spark):
 def test_mixing(spark):
     r = random.Random(6)
     rows = [(i, prose(r.randint(1, 60), i), s) for i, s in enumerate(["a"] * 2000 + ["b"] * 300 + ["c"] * 40 + [None] * 100)]
-    rows += [(9000, None, "a"), (9001, "", "b"), (9002, "x", "d"), (9002, "x", "d")]
+    rows += [(9000, None, "a"), (9001, "", "b"), (9002, "x", "d"), (9002, "x", "d"), (9003, prose(30_000, 3), "a"), (9004, prose(1500, 4), "c")]
     df = clashing(docs(spark, rows))
+    nameless = docs(spark, [*rows, (None, "one two", "a"), (None, "one two", "a"), (None, None, None)])
+    assert mixing.mixed(nameless).count() == sum(x.copies for x in mixing.plan(nameless).collect())
     p = mixing.plan(df).collect()
     assert len(p) == len(rows) and all(0 <= r.copies <= 2 for r in p)
     words = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
@@ -436,7 +579,7 @@ def test_mixing(spark):
         s = source[x.doc_id]
         assert x.source_size == total[s] and abs(x.target - target[s]) < 1e-6
         taken[s] = taken.get(s, 0) + x.size * x.copies
-    assert all(abs(taken[s] - target[s]) <= 60 + 0.02 * target[s] for s in order)
+    assert all(abs(taken[s] - target[s]) <= 1 + target[s] / mixing.LARGE_PART for s in order if s != "d")
     whole = mixing.mixed(df)
     assert whole.columns == df.columns and whole.count() == sum(x.copies for x in p)
     assert sorted(map(str, p)) == sorted(map(str, mixing.plan(df).collect()))
@@ -458,6 +601,6 @@ def test_mixing_takes_the_same_documents_at_every_size(spark, tmp_path, monkeypa
         assert Counter(r.doc_id for r in mixing.mixed(df).select("doc_id").collect()) == Counter(want)
 
     check()
-    monkeypatch.setattr(mixing._planned, "__defaults__", (50,))
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 50)
     monkeypatch.setattr(mixing, "WHOLE_ROWS", 7)
     check()
