@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows that one slice of a distributed rank holds on average.
 SLICE_ROWS = 20_000
+#: Tables of counts are broadcast up to so many rows (some MB); beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -115,21 +117,23 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], counts_from: Dat
     """
     slim = counts_from if counts_from is not None else df
     cells = [*keys, *(lead or [])]
-
-    def sliced(rows: DataFrame, sizes: DataFrame | None, n: int) -> DataFrame:
-        slices = F.lit(n) if sizes is None else F.col("_slices")
-        rows = rows if sizes is None else rows.join(sizes, cells)
-        return rows.withColumn("_slice", F.pmod(F.xxhash64(*order), slices) if spread is None else F.shiftright(spread * slices, 32))
-
-    sizes, n = None, 1
+    dealt, n = None, 1
     if cells:
-        sizes = slim.groupBy(*cells).agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("_slices"))
+        # cells of several slices: at most one for each slice_rows rows
+        dealt = slim.groupBy(*cells).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_rows).select(*cells, F.ceil(F.col("_n") / slice_rows).cast("long").alias("_slices"))
+        dealt = F.broadcast(dealt) if dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dealt
     else:
         n = max(1, -(-slim.count() // slice_rows))
-    counts = sliced(slim, sizes, n).groupBy(*cells, "_slice").agg(F.count("*").alias("_n"))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        slices = F.lit(n) if dealt is None else F.coalesce(F.col("_slices"), F.lit(1).cast("long"))
+        rows = rows if dealt is None else rows.join(dealt, cells, "left")
+        return rows.withColumn("_slice", F.pmod(F.xxhash64(*order), slices) if spread is None else F.shiftright(spread * slices, 32))
+
+    counts = sliced(slim).groupBy(*cells, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(*(lead or []), "_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy(*cells, "_slice").orderBy(*order)
-    out = sliced(df, sizes, n).withColumn("_at", F.row_number().over(within) - 1)
+    out = sliced(df).withColumn("_at", F.row_number().over(within) - 1)
     out = out.join(offsets, [*cells, "_slice"])
     return out.withColumn(name, (F.col("_first") + F.col("_at")).cast("long")).drop("_slice", "_slices", "_at", "_first")

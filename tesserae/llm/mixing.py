@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SLICE_ROWS, Scratch, ranked, table
+from .common import BROADCAST_ROWS, SLICE_ROWS, Scratch, ranked, table
 
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
@@ -33,8 +33,6 @@ MAX_EPOCHS = 2
 SEED = "mix-1"
 #: Documents above this part of their source's target are swept apart.
 LARGE_PART = 200
-#: The table of sources is broadcast up to so many rows (a few MB).
-BROADCAST_SOURCES = 50_000
 #: Rows that one slice of the order holds when rows carry their texts.
 WHOLE_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,7 +71,7 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
 def _planned(docs: DataFrame, slim: DataFrame, scratch: Scratch, seed: str, share: float, weights, max_epochs: int, slice_rows: int) -> DataFrame:
     sizes = slim.groupBy("mix_key").agg(F.max("mix_source").alias("source"), F.sum("mix_size").alias("source_size"))
     aims = scratch.cut(targets(sizes, share, weights, max_epochs))
-    few = aims.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    few = aims.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # size classes: steps of an eighth of a doubling, so that each stretch of the order has like sizes
     classes = F.floor(F.log2(F.col("mix_size") + 1) * 8).cast("int")
     mark = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("mix_id").cast("string"), F.lit(""))))
@@ -102,6 +100,7 @@ def _planned(docs: DataFrame, slim: DataFrame, scratch: Scratch, seed: str, shar
     firsts = slim.groupBy(*cells).agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_key", "mix_large").orderBy("mix_class").rowsBetween(Window.unboundedPreceding, -1)
     firsts = firsts.select(*cells, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_first"))
+    firsts = F.broadcast(firsts) if firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else firsts
     out = out.join(firsts, cells).withColumn("mix_at", F.col("mix_first") + F.col("mix_in"))
     return out.withColumn("mix_copies", copies(F.when(F.col("mix_large"), F.col("large_rate")).otherwise(F.col("small_rate"))))
 
