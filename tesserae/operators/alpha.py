@@ -69,9 +69,16 @@ def decode_plane(payload: bytes, w: int, h: int) -> np.ndarray:
     return unfilter(plane, kind)
 
 
+def unfilter_ragged(data: bytes, width: int, kind: int) -> np.ndarray:
+    """A plane whose last row may be short: what isn't there changes nothing before it."""
+    padded = np.zeros(-(-len(data) // width) * width, np.uint8)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    return unfilter(padded.reshape(-1, width), kind).ravel()[: len(data)] if len(data) else padded
+
+
 def decode_planes(rows: DataFrame, key: str) -> DataFrame:
-    """(key, payload, width, height) -> (key, error, category, bytes, plane_sha256)."""
-    schema = f"{key} long, error string, bytes long, plane_sha256 string"
+    """(key, payload, width, height) -> (key, error, category, bytes, plane_sha256, plane); the plane is there to be sunk."""
+    schema = f"{key} long, error string, bytes long, plane_sha256 string, plane binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,10 +86,10 @@ def decode_planes(rows: DataFrame, key: str) -> DataFrame:
             for k, payload, w, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     plane = decode_plane(payload, w, h).tobytes()
-                    out.append((k, None, len(plane), hashlib.sha256(plane).hexdigest()))
+                    out.append((k, None, len(plane), hashlib.sha256(plane).hexdigest(), plane))
                 except ImageError as e:
-                    out.append((k, e.name, None, None))
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=[key, "error", "bytes", "plane_sha256"])
+                    out.append((k, e.name, None, None, None))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=[key, "error", "bytes", "plane_sha256", "plane"])
 
     return rows.select(F.col(key).cast("long").alias(key), "payload", "width", "height").mapInArrow(run, schema).withColumn("category", category(F.col("error")))

@@ -23,6 +23,8 @@ class Limits:
 
     input_bytes: int = 0xFFFFFFFE
     pixels: int = 16_777_216
+    animation_pixels: int = 16_777_216
+    allocation: int = 256 * 1024 * 1024
     frames: int = 4096
     chunks: int = 65_536
     strict_padding: bool = True
@@ -158,8 +160,8 @@ class File:
 ICC, ALPHA, EXIF, XMP, ANIMATED = 0x20, 0x10, 0x08, 0x04, 0x02
 
 
-def canvas_limit(w: int, h: int, limits: Limits) -> None:
-    need(w * h <= limits.pixels, "CanvasTooLarge")
+def canvas_limit(w: int, h: int, limits: Limits, animated: bool = False) -> None:
+    need(w * h <= (limits.animation_pixels if animated else limits.pixels), "CanvasTooLarge")
 
 
 def take_image(f: File, data: bytes, c: Chunk, limits: Limits) -> None:
@@ -185,7 +187,7 @@ def take(f: File, data: bytes, c: Chunk, limits: Limits, budget: list[int]) -> N
             need(c.size >= 10, "InvalidExtendedHeaderSize")
             f.flags = data[c.start]
             f.canvas = dimensions(u(data, c.start + 4, 3) + 1, u(data, c.start + 7, 3) + 1)
-            canvas_limit(*f.canvas, limits)
+            canvas_limit(*f.canvas, limits, f.flag(ANIMATED))
         else:
             raise ImageError("MissingExtendedHeader")
         return
@@ -252,12 +254,13 @@ def parse(data: bytes, limits: Limits = Limits()) -> File:
 
 
 CHUNK = "struct<tag:string,kind:string,offset:bigint,payload_offset:bigint,payload_size:bigint>"
+WITH_PAYLOAD = CHUNK.replace(">", ",payload:binary>")
 FRAME = "struct<x:bigint,y:bigint,width:bigint,height:bigint,duration_ms:bigint,blend:string,dispose:string,format:string,has_alpha:boolean>"
-RESULT = f"error string, file_kind string, format string, width bigint, height bigint, has_alpha boolean, is_animation boolean, chunk_count bigint, file_size bigint, background binary, loop_count bigint, chunks array<{CHUNK}>, frames array<{FRAME}>"
+RESULT = f"error string, file_kind string, format string, width bigint, height bigint, has_alpha boolean, is_animation boolean, chunk_count bigint, file_size bigint, background binary, loop_count bigint, has_icc boolean, has_exif boolean, has_xmp boolean, chunks array<{CHUNK}>, frames array<{FRAME}>"
 
 
-def describe(data: bytes | None, limits: Limits) -> dict:
-    """One nested row; a malformed file has an error and nulls."""
+def describe(data: bytes | None, limits: Limits, payloads: bool = False) -> dict:
+    """One nested row; a malformed file has an error and nulls. payloads: chunks come with their bytes."""
     if data is None:
         return {"error": "InputTooSmall"}
     try:
@@ -265,7 +268,7 @@ def describe(data: bytes | None, limits: Limits) -> dict:
     except ImageError as e:
         return {"error": e.name, "file_size": len(data)}
     w, h = f.canvas
-    return {"file_kind": f.kind, "format": f.format, "width": w, "height": h, "has_alpha": f.has_alpha, "is_animation": f.flag(ANIMATED), "chunk_count": len(f.chunks), "file_size": len(data), "background": f.background, "loop_count": f.loops, "chunks": [c.row() for c in f.chunks], "frames": f.frames}
+    return {"file_kind": f.kind, "format": f.format, "width": w, "height": h, "has_alpha": f.has_alpha, "is_animation": f.flag(ANIMATED), "chunk_count": len(f.chunks), "file_size": len(data), "background": f.background, "loop_count": f.loops, "has_icc": "color_profile" in f.first, "has_exif": "exif_metadata" in f.first, "has_xmp": "xmp_metadata" in f.first, "chunks": [c.row() | ({"payload": data[c.start : c.start + c.size]} if payloads else {}) for c in f.chunks], "frames": f.frames}
 
 
 def arrow_type(kind: str) -> pa.DataType:
@@ -275,15 +278,15 @@ def arrow_type(kind: str) -> pa.DataType:
     return to_arrow_schema(_parse_datatype_string(kind))
 
 
-def demux(files: DataFrame, key: str, content: str = "content", limits: Limits = Limits()) -> DataFrame:
-    """(key, RESULT columns, category) for each file."""
-    schema = f"{key} {dict(files.dtypes)[key]}, {RESULT}"
+def demux(files: DataFrame, key: str, content: str = "content", limits: Limits = Limits(), payloads: bool = False) -> DataFrame:
+    """(key, RESULT columns, category) for each file. payloads: each chunk has its bytes too, so nothing is joined to get them."""
+    schema = f"{key} {dict(files.dtypes)[key]}, {RESULT.replace(CHUNK, WITH_PAYLOAD) if payloads else RESULT}"
     arrow = arrow_type(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [n for n in arrow.names if n != key]
         for batch in batches:
-            rows = [describe(d, limits) for d in batch.column(1).to_pylist()]
+            rows = [describe(d, limits, payloads) for d in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(key).type), *(pa.array([r.get(n) for r in rows], arrow.field(n).type) for n in names)], schema=arrow)
 
     return files.select(key, content).mapInArrow(run, schema).withColumn("category", category(F.col("error")))

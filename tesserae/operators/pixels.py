@@ -50,12 +50,52 @@ def palette_expand(packed: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def neighbours(px: DataFrame, width: int) -> DataFrame:
-    """Adds l, t, tr, tl of the pixel relation; the right edge's tr is the first pixel of the same row."""
+    """Adds l, t, tr, tl of the pixel relation, all at fixed distances in one order: past the right edge, the pixel that
+    stands a row less one before is the first one of the same row, as the format has it."""
     order = Window.partitionBy("img_id").orderBy("i")
-    row = Window.partitionBy("img_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lag = lambda n: F.lag("argb", n).over(order)
-    first = F.first("argb").over(row)
-    return px.withColumns({"l": F.when(F.col("x") > 0, lag(1)), "t": lag(width), "tl": F.when(F.col("x") > 0, lag(width + 1)), "tr": F.when(F.col("y") > 0, F.when(F.col("x") == width - 1, first).otherwise(lag(width - 1)))})
+    return px.withColumns({"l": F.when(F.col("x") > 0, lag(1)), "t": lag(width), "tl": F.when(F.col("x") > 0, lag(width + 1)), "tr": F.when(F.col("y") > 0, lag(width - 1))})
+
+
+def predict_any(mode: Column) -> Column:
+    """The prediction of a row of `neighbours`: the first pixel black, the first row from the left, the first column from above."""
+    inner = predict(mode, F.col("l"), F.col("t"), F.col("tr"), F.col("tl"))
+    return F.when((F.col("x") == 0) & (F.col("y") == 0), F.lit(0xFF000000)).when(F.col("y") == 0, F.col("l")).when(F.col("x") == 0, F.col("t")).otherwise(inner)
+
+
+def block_dims(size: Column, bits: int) -> Column:
+    """How many blocks of that size cover an edge."""
+    return F.shiftright(size + ((1 << bits) - 1), bits)
+
+
+def block_transform_ok(bits: Column, block_size: Column, side_w: Column, side_h: Column, w: Column, h: Column) -> Column:
+    """Whether the side image of a predictor or colour transform fits the image."""
+    dims = lambda side, edge: side == F.floor((edge + block_size - 1) / block_size)
+    return bits.between(2, 9) & (block_size == F.pow(F.lit(2), bits).cast("long")) & dims(side_w, w) & dims(side_h, h)
+
+
+def palette_transform_ok(size: Column, bits: Column, table_w: Column, table_h: Column, after_w: Column, after_h: Column, w: Column, h: Column) -> Column:
+    """Whether a palette's width, packing and the packed image fit together."""
+    scale = F.pow(F.lit(2), bits).cast("long")
+    return size.between(1, 256) & (bits == palette_bits(size)) & (table_w == size) & (table_h == 1) & (after_w == F.floor((w + scale - 1) / scale)) & (after_h == h)
+
+
+def channel_count(order: Column) -> Column:
+    """Of an output format: rgb, rgba, bgra or argb."""
+    return F.when(order == "rgb", 3).when(order.isin("rgba", "bgra", "argb"), 4)
+
+
+def row_bytes(width: Column, order: Column) -> Column:
+    """Bytes of a packed row; null above 32 bits, see buffer_status."""
+    n = width.cast("long") * channel_count(order)
+    return F.when(n <= 0xFFFFFFFF, n)
+
+
+def buffer_status(width: Column, height: Column, stride: Column, order: Column, length: Column) -> Column:
+    """The first fault of an output buffer, or null."""
+    row = row_bytes(width, order)
+    sized = F.when((width == 0) | (height == 0), "InvalidCanvasSize").when(width.cast("long") * height.cast("long") > 0xFFFFFFFF, "DimensionsOverflow")
+    return sized.when(row.isNull() | (stride < row) | (stride.cast("long") * (height - 1) + row > length), "OutputTooLarge")
 
 
 def _each(f, *pixels: Column) -> Column:
@@ -87,33 +127,3 @@ def cache_slot(p: Column, bits: int) -> Column:
 def swizzled(p: Column, order: str) -> Column:
     """A pixel's bytes as lower-case hex."""
     return F.lower(F.concat(*[F.lpad(F.hex(channel(p, c)), 2, "0") for c in order]))
-
-
-def horizontal(plane: DataFrame) -> DataFrame:
-    """Alpha plane rows (img_id, i, x, y, d): running sums in the row, seeded by those of the first column.
-
-    One order serves all sums, so there is one sort and no join."""
-    order = Window.partitionBy("img_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    at_first = lambda c: F.when(F.col("x") == 0, c)
-    rows = plane.withColumns({"s": F.sum("d").over(order), "seed": F.sum(at_first(F.col("d"))).over(order)})
-    start = F.last(at_first(F.col("s")), ignorenulls=True).over(order)
-    return rows.withColumn("o", low_byte(F.col("s") - start + F.col("seed")))
-
-
-def vertical(plane: DataFrame) -> DataFrame:
-    """Running sums down each column; the first row is a running sum of its own."""
-    order = Window.partitionBy("img_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    column = Window.partitionBy("img_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    rows = plane.withColumn("top", F.sum(F.when(F.col("y") == 0, F.col("d"))).over(order))
-    return rows.withColumn("o", low_byte(F.sum("d").over(column) - F.first("d").over(column) + F.first("top").over(column)))
-
-
-def gradient_fold(data: Column, width: int) -> Column:
-    """The gradient filter undone over a whole plane: a fold, as each value needs three earlier ones."""
-
-    def step(done: Column, d: Column) -> Column:
-        i = F.size(done)
-        guess = F.when(i == 0, 0).when(i < width, F.get(done, i - 1)).when(i % width == 0, F.get(done, i - width)).otherwise(clamp_byte(F.get(done, i - 1) + F.get(done, i - width) - F.get(done, i - width - 1)))
-        return F.concat(done, F.array(low_byte(d + guess).cast("long")))
-
-    return F.aggregate(data, F.array().cast("array<bigint>"), step)

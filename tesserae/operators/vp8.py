@@ -1,7 +1,16 @@
-"""Lossy arithmetic as array-free column expressions: quantiser factors, inverse transforms, prediction."""
+"""Lossy arithmetic: quantiser factors, inverse transforms, prediction, the arithmetic coder.
+
+Transforms and subblock prediction are written once over `Ops`: as column expressions, or on whole numbers and numpy
+arrays within a frame's kernel.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +29,19 @@ AC = (
 )
 
 
+@dataclass(frozen=True)
+class Ops:
+    """Floor shift, clamp to a byte, wrap to 16 bits."""
+
+    shift: Callable[[Any, int], Any]
+    clamp: Callable[[Any], Any]
+    wrap: Callable[[Any], Any]
+
+
+COLUMNS = Ops(F.shiftright, clamp_byte, lambda v: wrap_signed(v, 16))
+NUMBERS = Ops(lambda v, n: v >> n, lambda v: 0 if v < 0 else 255 if v > 255 else v, lambda v: ((v + 32768) & 65535) - 32768)
+
+
 def segment_index(base: Column, delta: Column, enabled: Column, absolute: Column) -> Column:
     return F.when(~enabled, base).when(absolute, delta).otherwise(base + delta)
 
@@ -37,26 +59,38 @@ def factors(base: Column, deltas: dict[str, Column]) -> Column:
     )
 
 
-def _dct(v: list[Column]) -> list[Column]:
-    cos = lambda a: F.shiftright(a * 20091, 16) + a
-    sin = lambda a: F.shiftright(a * 35468, 16)
+def factor_values(base: int, deltas: list[int]) -> dict[str, int]:
+    """`factors` for one index, with the deltas in the order of the header."""
+    step = lambda values, q: values[max(0, min(127, q))]
+    y1_dc, y2_dc, y2_ac, uv_dc, uv_ac = deltas
+    return {"y1_dc": step(DC, base + y1_dc), "y1_ac": step(AC, base), "y2_dc": 2 * step(DC, base + y2_dc), "y2_ac": max(8, step(AC, base + y2_ac) * 155 // 100), "uv_dc": min(132, step(DC, base + uv_dc)), "uv_ac": step(AC, base + uv_ac)}
+
+
+def _dct(v: list, ops: Ops) -> list:
+    cos = lambda a: ops.shift(a * 20091, 16) + a
+    sin = lambda a: ops.shift(a * 35468, 16)
     even, odd = v[0] + v[2], v[0] - v[2]
     low, high = sin(v[1]) - cos(v[3]), cos(v[1]) + sin(v[3])
     return [even + high, odd + low, odd - low, even - high]
 
 
-def inverse_dct(c: list[Column]) -> list[Column]:
+def inverse_dct(c: list, ops: Ops = COLUMNS) -> list:
     """16 residuals of 16 coefficients, row by row: columns first, then rows, rounded by 4 and shifted by 3."""
-    down = [_dct([c[x + 4 * y] for y in range(4)]) for x in range(4)]
+    down = [_dct([c[x + 4 * y] for y in range(4)], ops) for x in range(4)]
     out = []
     for y in range(4):
         row = [down[x][y] for x in range(4)]
-        out += [F.shiftright(v, 3) for v in _dct([row[0] + 4, *row[1:]])]
+        out += [ops.shift(v, 3) for v in _dct([row[0] + 4, *row[1:]], ops)]
     return out
 
 
-def inverse_wht(c: list[Column]) -> list[Column]:
-    def pass_(v: list[Column]) -> list[Column]:
+def add_residual(predicted: list[Column], residual: list[Column]) -> list[Column]:
+    """Samples with their residual, held within a byte."""
+    return [clamp_byte(p + r) for p, r in zip(predicted, residual, strict=True)]
+
+
+def inverse_wht(c: list, ops: Ops = COLUMNS) -> list:
+    def pass_(v: list) -> list:
         a, b, d, e = v[0] + v[3], v[1] + v[2], v[1] - v[2], v[0] - v[3]
         return [a + b, e + d, a - b, e - d]
 
@@ -64,10 +98,26 @@ def inverse_wht(c: list[Column]) -> list[Column]:
     out = []
     for y in range(4):
         row = [down[x][y] for x in range(4)]
-        out += [wrap_signed(F.shiftright(v, 3), 16) for v in pass_([row[0] + 3, *row[1:]])]
+        out += [ops.wrap(ops.shift(v, 3)) for v in pass_([row[0] + 3, *row[1:]])]
     return out
 
 
+FULL_MODES = ("dc", "vertical", "horizontal", "true_motion")
+
+
+def full_block(mode: str, above: np.ndarray, left: np.ndarray, corner: int, has_above: bool, has_left: bool) -> np.ndarray:
+    """A square block from its edges; only the flat mode leaves edges outside of the frame out."""
+    n = len(above)
+    if mode == "vertical":
+        return np.broadcast_to(above, (n, n))
+    if mode == "horizontal":
+        return np.broadcast_to(left[:, None], (n, n))
+    if mode == "true_motion":
+        return np.clip(left[:, None] + above[None] - corner, 0, 255)
+    edges = np.concatenate([e for e, there in ((above, has_above), (left, has_left)) if there] or [np.full(n, 128)])
+    return np.full((n, n), (int(edges.sum()) + len(edges) // 2) // len(edges))
+
+
 def block_dc(above: Column, left: Column, n_log2: int, has_above: Column, has_left: Column) -> Column:
     """The flat value of a block from the sums of its edges."""
     n = 1 << n_log2
@@ -78,19 +128,19 @@ def block_dc(above: Column, left: Column, n_log2: int, has_above: Column, has_le
 SUBBLOCK_MODES = ("dc", "true_motion", "vertical", "horizontal", "left_down", "right_down", "vertical_right", "vertical_left", "horizontal_down", "horizontal_up")
 
 
-def subblock(mode: str, corner: Column, above: list[Column], left: list[Column]) -> list[Column]:
+def subblock(mode: str, corner, above: list, left: list, ops: Ops = COLUMNS) -> list:
     """The 16 values of a 4x4 prediction, row by row; above has eight samples, left four from the top."""
     edge = {0: corner, **{k + 1: a for k, a in enumerate(above)}, **{-k - 1: v for k, v in enumerate(left)}}
-    two = lambda a, b: F.shiftright(a + b + 1, 1)
-    three = lambda a, b, c: F.shiftright(a + b * 2 + c + 2, 2)
+    two = lambda a, b: ops.shift(a + b + 1, 1)
+    three = lambda a, b, c: ops.shift(a + b * 2 + c + 2, 2)
     at = lambda k: three(edge[k - 1], edge[k], edge[k + 1])
     a, side = above, lambda k: left[min(k, 3)]
 
-    def value(x: int, y: int) -> Column:
+    def value(x: int, y: int):
         if mode == "dc":
-            return F.shiftright(sum(above[:4], F.lit(4)) + sum(left, F.lit(0)), 3)
+            return ops.shift(sum(above[:4]) + sum(left) + 4, 3)
         if mode == "true_motion":
-            return clamp_byte(left[y] + above[x] - corner)
+            return ops.clamp(left[y] + above[x] - corner)
         if mode == "vertical":
             return at(x + 1)
         if mode == "horizontal":
@@ -122,11 +172,17 @@ def macroblocks(size: Column) -> Column:
     return F.shiftright(size.cast("long") + 15, 4)
 
 
+def chroma(size: Column) -> Column:
+    """Chroma samples along an edge: one for two, rounded up."""
+    return F.shiftright(size.cast("long") + 1, 1)
+
+
 class BoolWriter:
-    """The arithmetic coder: an exact interval in big integers, written out at the end."""
+    """The arithmetic coder. The low end of its interval is a whole number of few bits; what can only change by a
+    carry any more is in `out`."""
 
     def __init__(self):
-        self.low, self.width, self.shift = 0, 255, 0
+        self.low, self.width, self.shift, self.out = 0, 255, 0, bytearray()
 
     def put(self, bit: int, probability: int = 128) -> BoolWriter:
         split = 1 + ((self.width - 1) * probability >> 8)
@@ -135,14 +191,42 @@ class BoolWriter:
             self.width -= split
         else:
             self.width = split
-        while self.width < 128:
-            self.low, self.width, self.shift = self.low << 1, self.width << 1, self.shift + 1
+        if (k := 8 - self.width.bit_length()) > 0:
+            self.low, self.width, self.shift = self.low << k, self.width << k, self.shift + k
+            if self.shift >= 512:
+                self._flush()
         return self
 
+    def literal(self, value: int, n: int) -> BoolWriter:
+        for k in range(n - 1, -1, -1):
+            self.put(value >> k & 1)
+        return self
+
+    def signed(self, value: int, n: int) -> BoolWriter:
+        return self.literal(abs(value), n).put(int(value < 0))
+
+    def flagged(self, value: int, n: int) -> BoolWriter:
+        """A flag, and the value if it isn't zero."""
+        return self.put(1).signed(value, n) if value else self.put(0)
+
+    def _flush(self) -> None:
+        n = self.shift // 8
+        left = self.shift + 8 - 8 * n
+        top, self.low, self.shift = self.low >> left, self.low & ((1 << left) - 1), self.shift - 8 * n
+        if top >> 8 * n:
+            at = len(self.out) - 1
+            while self.out[at] == 255:
+                self.out[at] = 0
+                at -= 1
+            self.out[at] += 1
+        self.out += (top & ((1 << 8 * n) - 1)).to_bytes(n, "big")
+
     def done(self) -> bytes:
         """The low end of the interval; its first byte stands for the first eight bits of range."""
-        n = self.shift + 8
-        return (self.low << (-n % 8)).to_bytes((n + 7) // 8, "big") + bytes(4)
+        pad = -self.shift % 8 + 8
+        self.low, self.shift = self.low << pad, self.shift + pad
+        self._flush()
+        return bytes(self.out) + bytes(4)
 
 
 class BoolReader:

@@ -1,4 +1,4 @@
-"""The lossy frame header up to the coefficient probabilities, by the arithmetic decoder."""
+"""The lossy frame header, by the arithmetic decoder: up to the probabilities for queries, whole for decoding."""
 
 from __future__ import annotations
 
@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from .demux import need, u
 from .errors import ImageError, category
 from .vp8 import BoolReader, BoolWriter
+from .vp8_tables import Tables
 
 COLUMNS = "error string, width bigint, height bigint, version bigint, color_space bigint, clamping bigint, segmented boolean, absolute boolean, quant array<bigint>, strength array<bigint>, map_probs array<bigint>, simple_filter boolean, level bigint, sharpness bigint, deltas array<bigint>, partitions bigint, base_q bigint, q_deltas array<bigint>"
 DELTAS = 5
 
 
 def read_header(payload: bytes) -> dict:
+    return start_header(payload)[0]
+
+
+def start_header(payload: bytes) -> tuple[dict, BoolReader]:
+    """The fields up to the quantiser, and the reader behind them."""
     need(len(payload) >= 10, "InvalidVP8Header")
     tag = u(payload, 0, 3)
     first = tag >> 5
@@ -25,9 +31,10 @@ def read_header(payload: bytes) -> dict:
     out = {"width": w & 0x3FFF, "height": h & 0x3FFF, "version": (tag >> 1) & 7}
     r = BoolReader(payload[10 : 10 + first])
     optional = lambda read, none: [read() if r.get() else none for _ in range(4)]
-    out |= {"color_space": r.get(), "clamping": r.get(), "segmented": bool(r.get()), "absolute": False, "quant": [0] * 4, "strength": [0] * 4, "map_probs": [255] * 3}
+    out |= {"color_space": r.get(), "clamping": r.get(), "segmented": bool(r.get()), "new_map": False, "absolute": False, "quant": [0] * 4, "strength": [0] * 4, "map_probs": [255] * 3}
     if out["segmented"]:
         new_map, new_data = r.get(), r.get()
+        out["new_map"] = bool(new_map)
         if new_data:
             out["absolute"] = bool(r.get())
             out["quant"] = optional(lambda: r.signed(7), 0)
@@ -40,7 +47,18 @@ def read_header(payload: bytes) -> dict:
     out["partitions"] = 1 << r.literal(2)
     out["base_q"] = r.literal(7)
     out["q_deltas"] = [r.signed(4) if r.get() else 0 for _ in range(DELTAS)]
-    return out
+    return out, r
+
+
+def whole_header(payload: bytes, tables: Tables) -> tuple[dict, BoolReader]:
+    """All fields, with the frame's coefficient probabilities; the reader stands before the macroblock records."""
+    out, r = start_header(payload)
+    need(out["width"] > 0 and out["height"] > 0, "InvalidCanvasSize")
+    out["refresh"] = bool(r.get())
+    probabilities = [r.literal(8) if r.get(u) else p for u, p in zip(tables.updates, tables.coefficients, strict=True)]
+    out["probabilities"] = Tables.planes(probabilities)
+    out["skip_probability"] = r.literal(8) if r.get() else None
+    return out, r
 
 
 def token_partitions(payload: bytes, first: int, count: int) -> list[bytes]:
@@ -58,39 +76,41 @@ def token_partitions(payload: bytes, first: int, count: int) -> list[bytes]:
     return [*out, payload[start:]]
 
 
-def write_header(w: int, h: int, segments: list[int] | None, level: int, sharpness: int, log2_parts: int, base_q: int, q_deltas: list[int]) -> bytes:
-    """A frame header whose fields are as given; segments are absolute quantiser indices."""
-    b = BoolWriter()
-
-    def literal(v: int, n: int) -> None:
-        for k in range(n - 1, -1, -1):
-            b.put(v >> k & 1)
-
-    def signed(v: int, n: int) -> None:
-        literal(abs(v), n)
-        b.put(int(v < 0))
-
+def put_header(b: BoolWriter, segments: list[int] | None, level: int, sharpness: int, log2_parts: int, base_q: int, q_deltas: list[int], absolute: bool = True, strengths: list[int] | None = None, map_probs: list[int] | None = None, deltas: list[int] | None = None) -> None:
+    """The fields up to the quantiser. segments: a quantiser index (or its difference) each; map_probs: 255 is none."""
     b.put(0).put(1).put(int(segments is not None))
     if segments is not None:
-        b.put(0).put(1).put(1)
+        b.put(int(map_probs is not None)).put(1).put(int(absolute))
         for v in segments:
-            b.put(1)
-            signed(v, 7)
-        literal(0, 4)
-    b.put(0)
-    literal(level, 6)
-    literal(sharpness, 3)
-    b.put(0)
-    literal(log2_parts, 2)
-    literal(base_q, 7)
+            b.put(1).signed(v, 7)
+        for v in strengths or [0] * 4:
+            b.flagged(v, 6)
+        for v in map_probs or []:
+            b.put(int(v != 255))
+            if v != 255:
+                b.literal(v, 8)
+    b.put(0).literal(level, 6).literal(sharpness, 3).put(int(deltas is not None))
+    if deltas is not None:
+        b.put(1)
+        for v in deltas:
+            b.flagged(v, 6)
+    b.literal(log2_parts, 2).literal(base_q, 7)
     for v in q_deltas:
-        b.put(int(v != 0))
-        if v:
-            signed(v, 4)
-    body = b.done()
+        b.flagged(v, 4)
+
+
+def framed(w: int, h: int, body: bytes) -> bytes:
+    """The uncompressed head before the first partition."""
     return (len(body) << 5 | 1 << 4).to_bytes(3, "little") + b"\x9d\x01\x2a" + w.to_bytes(2, "little") + h.to_bytes(2, "little") + body
 
 
+def write_header(w: int, h: int, segments: list[int] | None, level: int, sharpness: int, log2_parts: int, base_q: int, q_deltas: list[int], **more) -> bytes:
+    """A frame header up to the quantiser whose fields are as given."""
+    b = BoolWriter()
+    put_header(b, segments, level, sharpness, log2_parts, base_q, q_deltas, **more)
+    return framed(w, h, b.done())
+
+
 def read_headers(rows: DataFrame, key: str) -> DataFrame:
     """(key, payload) -> the header's fields, or the error."""
     from .demux import arrow_type

@@ -48,19 +48,141 @@ def palettes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("img_id", "idx", hashed(F.col("img_id") * 256 + F.col("idx"), 7).alias("argb"))
 
 
-def planes(spark: SparkSession, d: str, width: int = 32) -> DataFrame:
-    """Each document's bytes as a plane."""
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("img_id"), F.encode("text", "UTF-8").alias("data")).where(F.octet_length("data") > 0)
-    rows = rows.select("img_id", "data", F.explode(F.expr("sequence(0, octet_length(data) - 1)")).alias("i"))
-    return rows.select("img_id", F.col("i").cast("long").alias("i"), (F.col("i") % width).cast("long").alias("x"), F.floor(F.col("i") / width).alias("y"), byte_at(F.col("data"), F.col("i")).alias("d"))
+def dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """By number of tasks, not by size: an image costs milliseconds and its key a few bytes."""
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, key)
+
+
+def unfiltered(spark: SparkSession, d: str, kind: int, width: int = 32) -> DataFrame:
+    """Each document's bytes as a filtered plane, and what comes of it: img_id, its size and a weighted sum of its samples."""
+    from ..operators.alpha import unfilter_ragged
+
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("img_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            planes = [unfilter_ragged(x, width, kind).astype(np.int64) for x in batch.column(1).to_pylist()]
+            sums = [int((p * np.arange(1, len(p) + 1)).sum()) for p in planes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) for p in planes], pa.int64()), pa.array(sums, pa.int64())], names=["img_id", "n", "weighted"])
+
+    return rows.mapInArrow(run, "img_id long, n long, weighted long")
+
+
+#: How stream number i is written: i modulo the length of each.
+TRANSFORMS = ((), ("green",), ("palette",), ("predictor",), ("color",), ("predictor", "color", "green"), ("palette", "predictor"), ("green", "color", "predictor"))
+COLORS, CACHES, GROUPS = (2, 4, 16, 200, 4096, 1), (0, 7, 0, 11, 1), (0, 0, 2, 3)
+
+
+def stream_size(i: int, w: int) -> tuple[int, int]:
+    return (128, 128) if i % 500 == 0 else (w, i % 64 + 1)
+
+
+def stream_image(i: int, w: int, h: int) -> np.ndarray:
+    """Patches of few colours, or for some all pixels unlike."""
+    y, x = np.mgrid[:h, :w]
+    shade = x + y * w if i % 7 == 0 and i % 8 not in (2, 6) else (x // 3 + 5 * (y // 2)) % COLORS[i % 6]
+    return (FACTOR * (i * 4096 + shade + 1)) & MASK
+
+
+def stream_files(spark: SparkSession, d: str) -> DataFrame:
+    """A lossless file per part with transforms, copies, colour caches, several prefix groups and packed palettes."""
+    from ..operators.vp8l import write_stream
+
+    rows = dealt(spark, read(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_size").cast("long").alias("w")), "img_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                w, h = stream_size(i, size)
+                made.append(write_stream(stream_image(i, w, h), TRANSFORMS[i % 8], CACHES[i % 5], GROUPS[i % 4], 2 + i % 3, seed=i))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["img_id", "payload"])
+
+    made = rows.mapInArrow(run, "img_id long, payload binary")
+    return made.select("img_id", "payload", C.riff(C.chunk("VP8L", F.col("payload"))).alias("content"))
+
+
+def packed_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """An alpha plane per part, filtered as img_id % 4 says and packed as a headerless lossless stream."""
+    from ..operators.alpha import filtered
+    from ..operators.vp8l import write_stream
+
+    rows = dealt(spark, read(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_size").cast("int").alias("width"), (F.col("p_partkey") % 64 + 1).cast("int").alias("height")), "img_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i, w, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                y, x = np.mgrid[:h, :w]
+                plane = filtered((i * 7 + x // 2 * 3 + y * 5) % 256, i % 4).astype(np.int64)
+                made.append(bytes([1 | i % 4 << 2]) + write_stream(plane << 8, TRANSFORMS[i % 3], CACHES[i % 5], header=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(1), batch.column(2)], names=["img_id", "payload", "width", "height"])
+
+    return rows.mapInArrow(run, "img_id long, payload binary, width int, height int")
+
+
+def frames(spark: SparkSession, d: str, records) -> DataFrame:
+    """A lossy frame per part: records(i, columns, rows) gives its macroblocks and what else write_frame takes."""
+    from ..operators.vp8_frame import write_frame
+    from ..operators.vp8_tables import formula_tables
+
+    rows = dealt(spark, read(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_size").cast("long").alias("w")), "img_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = formula_tables()
+        for batch in batches:
+            made = []
+            for i, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = i % 64 + 1
+                blocks, more = records(i, (w + 15) >> 4, (h + 15) >> 4)
+                made.append(write_frame(w, h, blocks, tables, **more))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["img_id", "payload"])
+
+    return rows.mapInArrow(run, "img_id long, payload binary")
+
+
+def flat_records(i: int, columns: int, rows: int) -> tuple[list, dict]:
+    """Each macroblock carries on from its left (odd i) or upper neighbour and adds one step to all of its samples."""
+    from ..operators.vp8_frame import Macroblock
+
+    out = []
+    for r in range(rows):
+        for c in range(columns):
+            k, chroma = (i * 7 + 3 * r + 5 * c) % 7 - 3, (i + r + c) % 3 - 1
+            mode = "horizontal" if i % 2 else "vertical"
+            blocks = {0: [k] + [0] * 15} if k else {}
+            if chroma:
+                blocks |= {b: [chroma if b < 21 else -chroma] + [0] * 15 for b in range(17, 25)}
+            out.append(Macroblock(mode, mode, skip=not blocks, coefficients=blocks))
+    return out, {"base_q": i % 128, "log2_parts": i % 4}
+
+
+def mixed_records(i: int, columns: int, rows: int) -> tuple[list, dict]:
+    """All modes, segments and skips by rule, with values of all sizes."""
+    from ..operators.vp8 import FULL_MODES, SUBBLOCK_MODES
+    from ..operators.vp8_frame import Macroblock
+
+    out = []
+    for at in range(columns * rows):
+        luma = (*FULL_MODES, "subblocks")[(i + at) % 5]
+        own = tuple(SUBBLOCK_MODES[(i * 3 + 7 * at + k * 5) % 10] for k in range(16)) if luma == "subblocks" else ()
+        m = Macroblock(luma, FULL_MODES[(i + 2 * at) % 4], own, (i + at) % 4, (i + at) % 3 == 0)
+        if not m.skip:
+            for b in range(25):
+                if b % 5 == i % 5 and not (b == 0 and luma == "subblocks"):
+                    values = [((i * 31 + at * 17 + b * 5 + k * 3) % 9 - 4) * (1 + (i % 500 if k == 7 else 0)) for k in range(16)]
+                    values[0] = 0 if 0 < b < 17 and luma != "subblocks" else values[0]
+                    if any(values):
+                        m.coefficients[b] = values
+        out.append(m)
+    return out, {"segments": [10, 40, 70, 127], "map_probs": [100, 30, 255], "base_q": i % 128, "log2_parts": i % 4, "updates": {i % 1056: 77, (i * 7) % 1056: 200}}
 
 
 def lossless_files(spark: SparkSession, d: str) -> DataFrame:
     """A complete 8 by 8 lossless file per part, written from the pixels' formula."""
     from ..operators.vp8l import write_image
 
-    # an image costs milliseconds and its key a few bytes: dealt by number of tasks, not by size
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("img_id")).repartition(4 * spark.sparkContext.defaultParallelism, "img_id")
+    rows = dealt(spark, read(spark, d, "part").select(F.col("p_partkey").alias("img_id")), "img_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +235,7 @@ def alpha_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Each document's bytes as a raw alpha payload, filtered as doc_id % 4 says; 64 wide where that divides."""
     from ..operators.alpha import filtered
 
-    rows = read(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data")).where(F.octet_length("data") > 0)
+    rows = read(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
