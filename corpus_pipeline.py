@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import decontam, mixing, near_dup, quality, sharding
-from tesserae.llm.common import Scratch, table
+from tesserae.llm.common import Scratch, drop_made, made, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +44,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    """The rows of the last stage. What a stage wrote is deleted once the next one's result is written.
+
+    Defined cases are those of the operators; a stage that keeps nothing hands on an empty table.
+    """
+    docs, before = table(spark, sf_dir, "documents"), made()
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            scratch = Scratch(spark, f"pipeline-{name}")
             docs = scratch.cut(docs)
+            drop_made(spark, [*before, scratch.at])
     return docs
