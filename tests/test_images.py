@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae import __main__ as cli
 from tesserae.operators import alpha, demux, mux, vp8, vp8_frame, vp8_header, vp8_tables, vp8l
 from tesserae.operators.errors import CATEGORIES, ImageError
 from tesserae.plans import registry
@@ -398,3 +399,27 @@ def test_sink(spark, tmp_path):
     out = {r.file: (r.bytes, r.error) for r in files.sink(rows, f"file://{tmp_path}/out").collect()}
     assert out == {"a/x.yuv": (3, None), "../y": (None, "InvalidCorpusPath"), "z": (None, "MissingImageData")}
     assert (tmp_path / "out/a/x.yuv").read_bytes() == b"123" and not (tmp_path / "y").exists()
+
+
+def test_modes(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    board = np.arange(12).reshape(3, 4) * 0x01020304
+    (src / "a.webp").write_bytes(riff(chunk(b"VP8L", vp8l.write_stream(board))))
+    frame = vp8_frame.write_frame(4, 3, [vp8_frame.Macroblock(skip=True)], LOSSY)
+    (src / "b.webp").write_bytes(riff(vp8x(0x10, 4, 3), chunk(b"ALPH", b"\0" + bytes(range(12))), chunk(b"VP8 ", frame)))
+    (src / "c.webp").write_bytes(b"RIFF")
+    lines = [(n, i, v) for n in ("coefficients", "updates", "subblocks") for i, v in enumerate(getattr(LOSSY, n))]
+    spark.createDataFrame(lines, "name string, position int, value int").write.csv(str(tmp_path / "tables"))
+    mode = lambda *a: cli.run(spark, *(str(x) for x in a))
+    assert {r.file: (r.format, r.error) for r in mode("probe", src)[0].collect()} == {"a.webp": ("lossless", None), "b.webp": ("lossy", None), "c.webp": (None, "InputTooSmall")}
+    for name in ("decode", "alpha", "remux"):
+        assert mode(name, src, f"file://{out}/{name}")[0].where("error is null").count() == {"decode": 1, "alpha": 1, "remux": 2}[name]
+    mode("yuv", src, f"file://{out}/yuv", tmp_path / "tables")[0].collect()
+    assert (out / "decode/a.pam").read_bytes().endswith(vp8l.swizzle(board, "rgba")) and (out / "alpha/b.alpha").read_bytes() == bytes(range(12)) and (out / "yuv/b.yuv").read_bytes() == bytes([128]) * 20
+    mode("hash", src, out / "m")
+    assert mode("verify", src, out / "m")[1] and mode("compare", out / "remux", src)[0].first() == (2, 0, 1, False)
+    (src / "c.webp").unlink()
+    assert mode("compare", out / "remux", src)[1]
+    (src / "a.webp").write_bytes(riff(chunk(b"VP8L", vp8l.write_stream(board + 1))))
+    assert not mode("verify", src, out / "m")[1] and not mode("compare", out / "remux", src)[1]
