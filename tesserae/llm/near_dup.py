@@ -48,7 +48,7 @@ FAR = 0.25
 #: are shuffled; with more members than that it filters less, and the join still decides.
 PICKS = 1 << 18
 #: A family's block holds so many members, and so many shingles, on average at most.
-BLOCK_MEMBERS = 2000
+BLOCK_MEMBERS = 1000
 BLOCK_SHINGLES = 2_000_000
 #: Members of a family of several blocks that all others are compared with first.
 HUBS = 8
