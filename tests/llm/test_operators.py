@@ -313,6 +313,8 @@ def test_nearest(spark):
         hits += len({r.vec_id for r in mine} & set(best))
     assert len(got) == 150 and hits >= 0.95 * 150
     assert next(r for r in got if r.query_id == 0 and r.rank == 1).vec_id == 7
+    junk = spark.createDataFrame([(9000 + i, [] if i % 2 else [float("nan")] * 3, "?") for i in range(40)], df.schema)
+    assert ann.nearest(df.where("vec_id < 12").unionByName(junk), F.col("vec_id") % 10 == 0).count() == 10
     few = ann.nearest(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0).collect()
     assert len(few) == 2
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
