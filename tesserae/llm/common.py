@@ -79,6 +79,10 @@ class Scratch:
         self.live.append(path)
         return out
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Written tables of one schema as one scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*(t._scratch_path for t in tables))
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _delete(self.spark, t._scratch_path)

@@ -320,6 +320,32 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_in_small_blocks(spark, monkeypatch):
+    """Queries in several blocks, codes and lookups in several chunks: the result is that of one of each."""
+    g = np.random.default_rng(3)
+    x = g.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    monkeypatch.setattr(ann, "QUERY_BYTES", 64 * 10)
+    monkeypatch.setattr(ann, "QUERY_CHUNK", 3)
+    monkeypatch.setattr(ann, "CODE_CHUNK", 50)
+    monkeypatch.setattr(ann, "SUM_ROWS", 16)
+    got = sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    assert len(want) == 45 * 5 and [r[:3] for r in got] == [r[:3] for r in want]
+
+
+def test_lookups_are_the_distances_of_sums():
+    g = np.random.default_rng(4)
+    x = g.normal(size=(300, 12))
+    books = ann.learn(x, levels=6, words=8)
+    codes, norms = ann.encode(x, books)
+    sums = np.array([sum(books[level][w] for level, w in enumerate(c)) for c in codes], float)
+    assert np.allclose(norms, (sums**2).sum(1), atol=1e-4)
+    assert ((x - sums) ** 2).sum() <= ((x - np.array([sum(books[level][w] for level, w in enumerate(c)) for c in ann.encode(x, books, beam=1)[0]])) ** 2).sum()
+    got = ann.scores(codes, norms.astype(np.float32), x[:20].astype(np.float32), books)
+    assert np.allclose(got, 2 * x[:20] @ sums.T - (sums**2).sum(1), atol=1e-3)
+
+
 # 6 licenses
 
 
