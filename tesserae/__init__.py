@@ -2,8 +2,14 @@
 
 The names below are the public surface: scans and sinks, DataFrame operators (a row per file, chunk, frame, pixel or plane),
 and the functions on single files that their kernels run.
+
+Kernels travel to the executors by value, so these need not have the package.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from .operators.alpha import decode_plane, decode_planes
 from .operators.container import is_webp, riff_status
 from .operators.demux import Limits, demux, describe, parse
@@ -19,3 +25,5 @@ __all__ = [
     "CATEGORIES", "ImageError", "Limits", "Still", "Tables", "category", "compare", "comparison", "decode_files", "decode_frame", "decode_frames", "decode_plane", "decode_planes", "decode_static", "demux", "describe", "encode_static",
     "image_files", "is_webp", "manifest", "manifest_lines", "mux_stills", "pam", "parse", "read_headers", "read_tables", "remux", "remux_files", "riff_status", "scan_streams", "sink", "verify_manifest", "write_frame", "write_manifest", "write_stream",
 ]
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -338,14 +338,13 @@ def decode_frames(rows: DataFrame, key: str, tables: Tables, payload: str = "pay
 
     schema = f"{key} long, {FRAME}"
     arrow = arrow_type(schema)
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in zip(*(batch.column(i) for i in (0, 1)), strict=True):
                 out = {key: k.as_py()}
                 try:
-                    f = decode_frame(data.as_py() or b"", shared.value)
+                    f = decode_frame(data.as_py() or b"", tables)
                     yuv = f.yuv()
                     y, cu, cv = f.planes
                     out |= {"width": f.width, "height": f.height, "luma_stride": y.shape[1], "chroma_stride": cu.shape[1], "y": y.tobytes(), "u": cu.tobytes(), "v": cv.tobytes(), "yuv": yuv, "yuv_sha256": hashlib.sha256(yuv).hexdigest(), "records": [_record(m) for m in f.records]}

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import byte_at
 from ..operators import container as C
+from ..operators.alpha import filtered, unfilter_ragged
+from ..operators.vp8 import FULL_MODES, SUBBLOCK_MODES
+from ..operators.vp8_frame import Macroblock, write_frame
+from ..operators.vp8_header import write_header
+from ..operators.vp8_tables import formula_tables
+from ..operators.vp8l import write_image, write_stream
 
 FACTOR = 2654435761
 MASK = 0xFFFFFFFF
@@ -55,8 +61,6 @@ def dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
 
 def unfiltered(spark: SparkSession, d: str, kind: int, width: int = 32) -> DataFrame:
     """Each document's bytes as a filtered plane, and what comes of it: img_id, its size and a weighted sum of its samples."""
-    from ..operators.alpha import unfilter_ragged
-
     rows = read(spark, d, "documents").select(F.col("doc_id").alias("img_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +90,6 @@ def stream_image(i: int, w: int, h: int) -> np.ndarray:
 
 def stream_files(spark: SparkSession, d: str) -> DataFrame:
     """A lossless file per part with transforms, copies, colour caches, several prefix groups and packed palettes."""
-    from ..operators.vp8l import write_stream
-
     rows = dealt(spark, read(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_size").cast("long").alias("w")), "img_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +106,6 @@ def stream_files(spark: SparkSession, d: str) -> DataFrame:
 
 def packed_alpha(spark: SparkSession, d: str) -> DataFrame:
     """An alpha plane per part, filtered as img_id % 4 says and packed as a headerless lossless stream."""
-    from ..operators.alpha import filtered
-    from ..operators.vp8l import write_stream
-
     rows = dealt(spark, read(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_size").cast("int").alias("width"), (F.col("p_partkey") % 64 + 1).cast("int").alias("height")), "img_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +122,6 @@ def packed_alpha(spark: SparkSession, d: str) -> DataFrame:
 
 def frames(spark: SparkSession, d: str, records) -> DataFrame:
     """A lossy frame per part: records(i, columns, rows) gives its macroblocks and what else write_frame takes."""
-    from ..operators.vp8_frame import write_frame
-    from ..operators.vp8_tables import formula_tables
-
     rows = dealt(spark, read(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_size").cast("long").alias("w")), "img_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +139,6 @@ def frames(spark: SparkSession, d: str, records) -> DataFrame:
 
 def flat_records(i: int, columns: int, rows: int) -> tuple[list, dict]:
     """Each macroblock carries on from its left (odd i) or upper neighbour and adds one step to all of its samples."""
-    from ..operators.vp8_frame import Macroblock
-
     out = []
     for r in range(rows):
         for c in range(columns):
@@ -159,9 +153,6 @@ def flat_records(i: int, columns: int, rows: int) -> tuple[list, dict]:
 
 def mixed_records(i: int, columns: int, rows: int) -> tuple[list, dict]:
     """All modes, segments and skips by rule, with values of all sizes."""
-    from ..operators.vp8 import FULL_MODES, SUBBLOCK_MODES
-    from ..operators.vp8_frame import Macroblock
-
     out = []
     for at in range(columns * rows):
         luma = (*FULL_MODES, "subblocks")[(i + at) % 5]
@@ -180,8 +171,6 @@ def mixed_records(i: int, columns: int, rows: int) -> tuple[list, dict]:
 
 def lossless_files(spark: SparkSession, d: str) -> DataFrame:
     """A complete 8 by 8 lossless file per part, written from the pixels' formula."""
-    from ..operators.vp8l import write_image
-
     rows = dealt(spark, read(spark, d, "part").select(F.col("p_partkey").alias("img_id")), "img_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +222,6 @@ def annotated(spark: SparkSession, d: str) -> DataFrame:
 
 def alpha_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Each document's bytes as a raw alpha payload, filtered as doc_id % 4 says; 64 wide where that divides."""
-    from ..operators.alpha import filtered
-
     rows = read(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,8 +239,6 @@ def alpha_payloads(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_headers(spark: SparkSession, d: str) -> DataFrame:
     """A lossy frame header per part."""
-    from ..operators.vp8_header import write_header
-
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("img_id"), F.col("p_size").cast("long").alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
