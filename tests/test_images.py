@@ -423,3 +423,33 @@ def test_modes(spark, tmp_path):
     assert mode("compare", out / "remux", src)[1]
     (src / "a.webp").write_bytes(riff(chunk(b"VP8L", vp8l.write_stream(board + 1))))
     assert not mode("verify", src, out / "m")[1] and not mode("compare", out / "remux", src)[1]
+
+
+def test_kernels_need_no_package_on_executors(tmp_path):
+    """What is pickled for the workers loads and runs in a process that can't import the package."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tesserae import decode_frame, remux
+    from tesserae.operators import vp8l
+    from tesserae.operators.errors import ImageError
+    from tesserae.operators.vp8_tables import formula_tables
+
+    def kernel():
+        out = []
+        for call in (lambda: decode_frame(b"", formula_tables()), lambda: remux(b""), lambda: vp8l.decode_static(b"")):
+            try:
+                call()
+            except ImageError as e:
+                out.append(e.name)
+        return out
+
+    (tmp_path / "kernel").write_bytes(cloudpickle.dumps(kernel))
+    program = "import importlib.util, pickle; assert importlib.util.find_spec('tesserae') is None; print(pickle.load(open('kernel', 'rb'))())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == str(kernel()) and len(kernel()) >= 2
