@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import bisect
 import datetime
-import functools
 import hashlib
 import re
 import sys
@@ -83,6 +82,14 @@ class Feistel:
         if not key:
             raise ValueError("pseudonyms need a key")
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
+        self._dates: dict[tuple[int, int], list[int]] = {}
+
+    def dates(self) -> dict[tuple[int, int], list[int]]:
+        """The ordinals of all dates that may stand for one another."""
+        if not self._dates:
+            for n in range(FIRST_DAY, LAST_DAY + 1):
+                self._dates.setdefault(_kind_of_date(datetime.date.fromordinal(n)), []).append(n)
+        return self._dates
 
     def _pass(self, kind: str, half: int, value: int, order) -> int:
         mask = (1 << half) - 1
@@ -206,15 +213,6 @@ def _kind_of_date(day: datetime.date) -> tuple[int, int]:
     return int(day.month > 9), 0 if day.day < 10 else 1 if day.day < 13 else 2
 
 
-@functools.cache
-def _dates() -> dict[tuple[int, int], list[int]]:
-    """The ordinals of all dates that may stand for one another."""
-    out: dict[tuple[int, int], list[int]] = {}
-    for n in range(FIRST_DAY, LAST_DAY + 1):
-        out.setdefault(_kind_of_date(datetime.date.fromordinal(n)), []).append(n)
-    return out
-
-
 def _date(f: Feistel, year: int, month: int, day: int, inverse: bool) -> datetime.date | None:
     try:
         d = datetime.date(year, month, day)
@@ -223,7 +221,7 @@ def _date(f: Feistel, year: int, month: int, day: int, inverse: bool) -> datetim
     if not FIRST_DAY <= d.toordinal() <= LAST_DAY:
         return None
     kind = _kind_of_date(d)
-    days = _dates()[kind]
+    days = f.dates()[kind]
     return datetime.date.fromordinal(days[f.permute(f"date{kind}", len(days), bisect.bisect_left(days, d.toordinal()), inverse)])
 
 

@@ -632,3 +632,38 @@ def test_mixing_takes_the_same_documents_at_every_size(spark, tmp_path, monkeypa
     monkeypatch.setattr(mixing, "SLICE_ROWS", 50)
     monkeypatch.setattr(mixing, "WHOLE_ROWS", 7)
     check()
+
+
+def test_kernels_need_no_package_on_executors(tmp_path):
+    """What is pickled for the workers loads and runs in a process that can't import the package."""
+    import os
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    def kernel():
+        text = "card 4111 1111 1111 1111, born 1990-12-31 or 5/6/1990, mail Ann.Lee@example.org, call +44 20 7183 8750, GB82 WEST 1234 5698 7654 32"
+        f = pii.Feistel("k")
+        new, counts = pii.pseudonymise(text, f)
+        turns = pa.RecordBatch.from_pydict({"conv_id": [1], "role": ["user"], "text": ["#"]})
+        x = np.random.default_rng(0).normal(size=(64, 4))
+        books = ann.learn(x, levels=2, words=4, iterations=2)
+        codes, norms = ann.encode(x, books)
+        return [
+            pii.pseudonymise(new, f, inverse=True)[0] == text and sum(counts.values()),
+            len(decontam.Matcher([(1, decontam.normal(text))])(text)),
+            near_dup.linked_stars([1, 2], [near_dup.Shingles(3)(text)] * 2, np.zeros(2), 80),
+            len(near_dup.Signer(*near_dup.banding(0.8))(near_dup.Shingles(5)(text))[1]),
+            quality._score(quality.train([text, "b"], [1, 0], 1 << 8).table()[0], 0.0, quality.Hasher(1 << 8), text) >= 0,
+            [b.num_rows for b in chat._digest(chat._emit(iter([turns]), chat.Template()), chat.Template())],
+            ann.scores(codes, norms, x[:3].astype(np.float32), books).shape,
+        ]
+
+    (tmp_path / "kernel").write_bytes(cloudpickle.dumps(kernel))
+    program = "import importlib.util, pickle; assert importlib.util.find_spec('tesserae') is None; print(pickle.load(open('kernel', 'rb'))())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == str(kernel()) and kernel()[0] == 6
