@@ -10,6 +10,8 @@ from ..functions.bits import byte_at, le_bytes, le_uint, text_bytes
 # Four-character tags and their kinds.
 KINDS = {"VP8 ": "lossy_bitstream", "VP8L": "lossless_bitstream", "VP8X": "extended_header", "ALPH": "alpha", "ANIM": "animation", "ANMF": "animation_frame", "ICCP": "color_profile", "EXIF": "exif_metadata", "XMP ": "xmp_metadata"}
 PAYLOAD_MAX = 0xFFFFFFF6
+#: Of a first partition's length, in a frame tag.
+LENGTH_BITS = 19
 
 
 def is_webp(data: Column) -> Column:
@@ -92,10 +94,15 @@ def vp8_header(width: Column, height: Column) -> Column:
     return F.concat(F.unhex(F.lit("1000009d012a")), le_bytes(width, 2), le_bytes(height, 2))
 
 
+def vp8_tag(version: Column, first_partition: Column) -> Column:
+    """The tag of a key frame that is shown; the length must fit."""
+    return le_bytes(version * 2 + 16 + F.shiftleft(first_partition, 5), 3)
+
+
 def vp8_tag_fields(payload: Column) -> Column:
     tag = le_uint(payload, 0, 3)
     field = lambda shift, n: F.shiftright(tag, shift).bitwiseAND(F.lit((1 << n) - 1))
-    return F.struct((field(0, 1) == 0).alias("key_frame"), field(1, 3).alias("version"), (field(4, 1) == 1).alias("shown"), field(5, 19).alias("first_partition"))
+    return F.struct((field(0, 1) == 0).alias("key_frame"), field(1, 3).alias("version"), (field(4, 1) == 1).alias("shown"), field(5, LENGTH_BITS).alias("first_partition"))
 
 
 def vp8_fields(payload: Column) -> Column:

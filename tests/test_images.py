@@ -40,6 +40,17 @@ def test_query_matches_sql(spark, sql, name):
     assert got == order(tuple(r[want.columns.index(n)] for n in names) for r in want.fetchall())
 
 
+def test_frame_tag_of_long_partitions(spark, tmp_path):
+    """i05 against its SQL for lengths that one tag holds just, no more, and for the longest of all."""
+    path = str(tmp_path / "part.parquet")
+    keys = [0, 1, 74898, 74899, 74900, 119999, 1199999, 2**36, 2**63 // 7]
+    spark.createDataFrame([(k, k % 50 + 1) for k in keys], "p_partkey long, p_size int").write.parquet(path)
+    got = registry.QUERIES["i05_frame_tag"](spark, str(tmp_path)).select("img_id", "key_frame", "version", "shown", "first_partition").collect()
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{path}/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.SQL["i05_frame_tag"]).fetchall()) and len(got) == len(keys)
+
+
 def chunk(tag: bytes, payload: bytes) -> bytes:
     return tag + len(payload).to_bytes(4, "little") + payload + b"\0" * (len(payload) & 1)
 
